@@ -198,7 +198,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = 12) ->
     if toxic.all() or not toxic.any():
         share = np.clip(toxic.mean() if len(toxic) else 0.5, 0.01, 0.99)
         return Model(np.zeros(WEIGHTS, np.float32), -8.0, np.zeros(3), np.array([0, 0, np.log(share / (1 - share))]))
-    docs = [[w.lower() for w in _WORD.findall(t)] for t in texts]
+    same: dict[str, str] = {}  # one string for each word
+    docs = [[same.setdefault(w, w) for w in map(str.lower, _WORD.findall(t))] for t in texts]
     labels = word_labels(docs, toxic)
     rng = np.random.default_rng(seed)
     # Training windows: around labelled words, and others for contrast.
