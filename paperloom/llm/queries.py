@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, embedding_dedup, html_extract, packing, pii, tokens, toxicity, url_filter
+from paperloom.llm import decontaminate, embedding_dedup, html_extract, near_duplicates, packing, pii, tokens, toxicity, url_filter
 from paperloom.llm.common import table
 
 #: The listed entries of op2's contract: host, path, verdict.
@@ -50,6 +50,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
