@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, embedding_dedup, html_extract, near_duplicates, packing, pii, tokens, toxicity, url_filter
+from paperloom.llm import decontaminate, embedding_dedup, html_extract, near_duplicates, packing, pii, substring_dedup, tokens, toxicity, url_filter
 from paperloom.llm.common import table
 
 #: The listed entries of op2's contract: host, path, verdict.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("start", "start_word").withColumnRenamed("end", "end_word")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "rule_host string, rule_path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
