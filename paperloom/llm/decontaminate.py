@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Workspace, arrow_map, text_bytes
@@ -171,60 +171,73 @@ class TestSet:
 
 
 
-def _judged(documents: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFrame:
-    kind = dict(documents.select(id_col).dtypes)[id_col]
+_FOUND = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spans": "array<struct<start: bigint, end: bigint>>"}
+
+
+def _judged(documents: DataFrame, tests: TestSet, carried: list[str], text_col: str, prefix: str = "") -> DataFrame:
+    kinds = dict(documents.dtypes)
+    columns = list(dict.fromkeys([*carried, text_col]))
 
     def make():
-        known, hashes = tests, WordHashes()
+        hashes = WordHashes()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            out: dict = {id_col: batch.column(0), "n_words": [], "n_hit": [], "items": [], "spans": []}
-            for raw in text_bytes(batch.column(1)):
-                n, mask, found = known.judge(hashes.of(raw))
+            out: dict = {n: [] for n in _FOUND}
+            for raw in text_bytes(batch.column(columns.index(text_col))):
+                n, mask, found = tests.judge(hashes.of(raw))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 out["n_words"].append(n)
                 out["n_hit"].append(int(mask.sum()))
-                out["items"].append([known.ids[i] for i in sorted(found)])
+                out["items"].append([tests.ids[i] for i in sorted(found)])
                 out["spans"].append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            yield out
+            yield {c: batch.column(columns.index(c)) for c in carried} | {f"{prefix}{n}": x for n, x in out.items()}
 
         return work
 
-    return arrow_map(documents, [id_col, text_col], f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>", make)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(f"`{prefix}{n}` {kind}" for n, kind in _FOUND.items())])
+    return arrow_map(documents, columns, schema, make)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """For each row: the id, ``n_words``, ``n_hit``, ``items`` (sorted ids found), and ``spans`` (word ranges that are hit)."""
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, broadcast_words: int = BROADCAST_WORDS, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """For each row: the id (or the columns ``keep``), and with ``prefix`` before their names ``n_words``, ``n_hit``, ``items``
+    (sorted ids found), and ``spans`` (word ranges that are hit)."""
+    carried = keep or [id_col]
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where("text is not null and id is not null")
     size = F.length(F.regexp_replace(F.lower("text"), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "x"))  # at least the words
     total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     if total <= broadcast_words:
         tests = TestSet([(r["id"], r["text"].encode()) for r in items.toLocalIterator()], span, k)
-        return _judged(documents, tests, id_col, text_col)
+        return _judged(documents, tests, carried, text_col, prefix)
 
     # Too large for one task: slices of items, each judged over all documents, united for each row of documents.
     space = Workspace(documents.sparkSession, "decontaminate")
-    keyed = space.write(documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
+    # Row numbers hold only once they are written.
+    keyed = space.write(documents.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.struct(*carried).alias("_own")), "documents")
     slices = -(-int(total) // broadcast_words) * 2
     sliced = space.write(items.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")), "items")
     parts = None
     for n in range(slices):
         tests = TestSet([(r["id"], r["text"].encode()) for r in sliced.where(F.col("slice") == n).toLocalIterator()], span, k)
-        part = space.write(_judged(keyed, tests, "row", "text"), f"slice{n}")
+        part = space.write(_judged(keyed, tests, ["_row"], "_text"), f"slice{n}")
         parts = part if parts is None else parts.unionByName(part)
-    united = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    united = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     merged = F.aggregate(
         "all",
         F.array().cast("array<struct<start: bigint, end: bigint>>"),
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
     united = united.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
-    return keyed.select("row", F.col("id").alias(id_col)).join(united, "row").select(id_col, "n_words", "n_hit", "items", "spans")
+    joined = keyed.select("_row", "_own").join(united, "_row")
+    return joined.select(*[F.col(f"_own.{c}").alias(c) for c in carried], *[F.col(n).alias(f"{prefix}{n}") for n in _FOUND])
+
+
+def contaminated(prefix: str = "") -> Column:
+    """Whether a judged row counts as contaminated: at least a twentieth of its words are hit."""
+    hit = F.col(f"{prefix}n_hit")
+    return (hit > 0) & (20 * hit >= F.col(f"{prefix}n_words"))
 
 
 def contract(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of the registered query."""
     ids = F.array_join("items", ",")
-    return judged.select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
-    )
+    return judged.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -278,10 +278,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], bool)
 
 
-def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The id (and columns ``keep``), ``score`` and ``spans`` (offsets of offending words) of each row."""
+def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score", spans_col: str = "spans") -> DataFrame:
+    """The id (and columns ``keep``), the score and the spans (offsets of offending words) of each row."""
     kinds = dict(documents.dtypes)
-    carried = [c for c in [id_col, *(keep or [])] if c != text_col]
+    carried = [c for c in dict.fromkeys([id_col, *(keep or [])]) if c != text_col]
     columns = [*carried, text_col]
     given = [*columns] if keep and text_col in keep else carried
 
@@ -305,14 +305,14 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     held = 0
             if group:
                 done()
-            yield {c: batch.column(columns.index(c)) for c in given} | {"score": scores, "spans": spans}
+            yield {c: batch.column(columns.index(c)) for c in given} | {score_col: scores, spans_col: spans}
 
         return work
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in given) + ", score double, spans array<struct<start: bigint, end: bigint>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in given) + f", `{score_col}` double, `{spans_col}` array<struct<start: bigint, end: bigint>>"
     return arrow_map(documents, columns, schema, make)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score", spans_col: str = "spans") -> DataFrame:
     """Train on the labelled rows and score every document."""
-    return score(documents, fit(*training_rows(documents, labels, id_col, text_col)), id_col, text_col, keep)
+    return score(documents, fit(*training_rows(documents, labels, id_col, text_col)), id_col, text_col, keep, score_col, spans_col)
