@@ -166,3 +166,8 @@ def inverted_index_text(index: Column) -> Column:
     ordered = F.array_sort(places)
     kept = F.filter(F.transform(ordered, lambda x, i: F.struct(x.alias("x"), F.get(ordered, i + 1)["p"].alias("n"))), lambda z: z["n"].isNull() | (z["n"] != z["x"]["p"]))
     return F.array_join(F.transform(kept, lambda z: z["x"]["t"]), " ")
+
+
+def count() -> Column:
+    """Number of rows."""
+    return F.count(F.lit(1))

@@ -33,15 +33,19 @@ def tokens(text: Column, pattern: str = TOKEN_PATTERN, stopwords: tuple[str, ...
 
 
 def ngrams(words: Column, least: int = 1, most: int = 2) -> Column:
-    """Contiguous n-grams, shorter ones first, joined by a space."""
+    """Contiguous n-grams, shorter ones first, joined by a space.
+
+    Longer grams are made from shorter ones by zipping shifted arrays: the token expression is not evaluated for each place.
+    """
     if not 1 <= least <= most <= 5:
         raise ValueError("n-gram bounds must satisfy 1 <= least <= most <= 5")
-
-    def of(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return words if (least, most) == (1, 1) else F.flatten(F.array(*[of(n) for n in range(least, most + 1)]))
+    made, out = words, [words] if least == 1 else []
+    for n in range(2, most + 1):
+        shifted = F.slice(words, n, F.greatest(F.size(words) - n + 1, F.lit(0)))
+        made = F.filter(F.zip_with(made, shifted, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+        if n >= least:
+            out.append(made)
+    return out[0] if len(out) == 1 else F.concat(*out)
 
 
 def pairs(items: Column) -> Column:

@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 _WORDS = re.compile(r"[A-Za-z0-9_]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
@@ -44,7 +45,7 @@ def hash_vector_udf(text: Column, dimensions: int = 384, normalize: bool = True)
     return embed(text)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_score_udf(query: pd.Series, candidate: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two titles, three places; null if either is missing or empty."""
     score = lambda a, b: round(SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio(), 3) if a and b else None

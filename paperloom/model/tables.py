@@ -46,7 +46,7 @@ class Tables:
         apos = F.coalesce("a.position", F.col("p") + 1)
         authorships = authors.select(
             "work_id", apos.alias("apos"), F.coalesce(F.nullif(S.compact_id(F.col("a.id")), F.lit("")), F.col("a.display_name"), F.lit("")).alias("author_id"), F.coalesce("a.display_name", F.lit("")).alias("author_name"),
-            ((F.col("a.author_position") <=> "first") | (F.col("p") == 0)).alias("is_first"), ((F.col("a.author_position") <=> "last") | (F.col("p") + 1 == F.col("n_authors"))).alias("is_last"), (F.col("a.is_corresponding") <=> True).alias("is_corresponding"),
+            (F.col("a.author_position").eqNullSafe("first") | (F.col("p") == 0)).alias("is_first"), (F.col("a.author_position").eqNullSafe("last") | (F.col("p") + 1 == F.col("n_authors"))).alias("is_last"), F.col("a.is_corresponding").eqNullSafe(True).alias("is_corresponding"),
         )
         inner = authors.select("work_id", apos.alias("apos"), F.posexplode("a.institutions").alias("ipos", "i"))
         institutions = inner.select(

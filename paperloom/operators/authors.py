@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
 from paperloom.functions import text as T
+from paperloom.functions.scalars import count
 from paperloom.model.tables import Tables
 
-count = F.count(F.lit(1))
-
 
 def roles(t: Tables) -> DataFrame:
     """Listings as first, last and corresponding author; the only author of a work is all that first and last say."""
@@ -25,14 +24,14 @@ def _author_sets(t: Tables) -> DataFrame:
 
 def coauthor_edges(t: Tables, top: int = 300, min_weight: int = 1) -> DataFrame:
     made = _author_sets(t).select(F.explode(T.pairs(F.col("authors"))).alias("p")).select("p.source", "p.target")
-    return made.groupBy("source", "target").agg(count.alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
+    return made.groupBy("source", "target").agg(count().alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
 
 
 def collaborators(t: Tables) -> DataFrame:
     """Distinct partners of each author: pairs inside each work, combined before they are shuffled."""
     made = _author_sets(t).select(F.explode("authors").alias("author_id"), "authors")
     partner = made.select("author_id", F.explode("authors").alias("partner")).where("author_id <> partner").distinct()
-    return partner.groupBy("author_id").agg(count.alias("collaborator_count"))
+    return partner.groupBy("author_id").agg(count().alias("collaborator_count"))
 
 
 def _homes(t: Tables) -> DataFrame:
@@ -42,7 +41,7 @@ def _homes(t: Tables) -> DataFrame:
 def primary_affiliation(t: Tables) -> DataFrame:
     """Most frequent institution of each author; the first seen on ties."""
     homes = _homes(t).join(t.works.select("work_id", "pos"), "work_id")
-    counted = homes.groupBy("author_id", "institution_id").agg(count.alias("n"), F.min(F.struct("pos", "apos", "ipos", "institution", "country_code")).alias("first"))
+    counted = homes.groupBy("author_id", "institution_id").agg(count().alias("n"), F.min(F.struct("pos", "apos", "ipos", "institution", "country_code")).alias("first"))
     best = counted.groupBy("author_id").agg(F.min_by(F.struct("institution_id", "first", "n"), F.struct((-F.col("n")).alias("a"), F.col("first.pos"), F.col("first.apos"), F.col("first.ipos"))).alias("b"))
     return best.select("author_id", F.col("b.first.institution").alias("primary_institution"), F.col("b.first.country_code").alias("primary_country"), F.col("b.n").alias("n_listings"))
 
@@ -54,12 +53,12 @@ def affiliation_counts(t: Tables) -> DataFrame:
 def author_topics(t: Tables, top: int = 300) -> DataFrame:
     """Each author of a work with each topic of that work."""
     listed = t.authorships.select("work_id", "author_id").distinct().join(t.topics.select("work_id", "topic_id", "topic"), "work_id")
-    return listed.groupBy("author_id", "topic_id").agg(count.alias("n")).orderBy(F.desc("n"), "author_id", "topic_id").limit(top)
+    return listed.groupBy("author_id", "topic_id").agg(count().alias("n")).orderBy(F.desc("n"), "author_id", "topic_id").limit(top)
 
 
 def by_year(t: Tables) -> DataFrame:
     listed = t.authorships.select("work_id", "author_id").distinct().join(t.works.select("work_id", "year", "citations"), "work_id").where("year is not null")
-    return listed.groupBy("author_id", "year").agg(count.alias("n_papers"), F.sum("citations").alias("total_citations"))
+    return listed.groupBy("author_id", "year").agg(count().alias("n_papers"), F.sum("citations").alias("total_citations"))
 
 
 def landscape(t: Tables, top: int = 30, min_papers: int = 1) -> DataFrame:

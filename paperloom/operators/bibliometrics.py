@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
+from paperloom.functions.scalars import count
 from paperloom.model.tables import Tables
 
-count = F.count(F.lit(1))
-
 
 def annual_impact(t: Tables) -> DataFrame:
     """Papers and citations by year, running sums, and flags of years whose figures will still grow.
 
     The windows run over one row for each year, after the aggregation.
     """
-    yearly = t.works.where("year is not null").groupBy("year").agg(count.alias("n_papers"), F.sum("citations").alias("total_citations"))
+    yearly = t.works.where("year is not null").groupBy("year").agg(count().alias("n_papers"), F.sum("citations").alias("total_citations"))
     by_year = Window.orderBy("year")
     running = by_year.rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
@@ -29,7 +28,7 @@ def annual_impact(t: Tables) -> DataFrame:
 
 def growth_rate(t: Tables) -> DataFrame:
     """Compound yearly growth of papers in percent; null with fewer than two years."""
-    yearly = t.works.where("year is not null").groupBy("year").agg(count.alias("n"))
+    yearly = t.works.where("year is not null").groupBy("year").agg(count().alias("n"))
     ends = yearly.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by("n", "year").alias("first_n"), F.max_by("n", "year").alias("last_n"))
     years = F.col("last_year") - F.col("first_year")
     return ends.select("first_year", "last_year", F.when(years > 0, (F.pow(F.col("last_n") / F.col("first_n"), 1.0 / years) - 1) * 100).alias("annual_growth_rate"))
@@ -38,13 +37,13 @@ def growth_rate(t: Tables) -> DataFrame:
 def overview(t: Tables) -> DataFrame:
     """One row of totals, percentiles (linear interpolation) and shares."""
     q = F.percentile("citations", [0.25, 0.5, 0.75, 0.9])
-    row = t.works.agg(count.alias("total_papers"), F.coalesce(F.sum("citations"), F.lit(0)).alias("total_citations"), F.avg("citations").alias("avg_citations"), q.alias("q"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_if(F.col("is_oa") <=> True).alias("open_access_count"))
+    row = t.works.agg(count().alias("total_papers"), F.coalesce(F.sum("citations"), F.lit(0)).alias("total_citations"), F.avg("citations").alias("avg_citations"), q.alias("q"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_if(F.col("is_oa").eqNullSafe(True)).alias("open_access_count"))
     share = F.when(F.col("total_papers") > 0, F.col("open_access_count") / F.col("total_papers")).alias("open_access_share")
     return row.select("total_papers", "total_citations", "avg_citations", F.col("q")[1].alias("median_citations"), *[F.col("q")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75", "p90"))], "first_year", "last_year", "open_access_count", share)
 
 
 def document_types(t: Tables) -> DataFrame:
-    return t.works.groupBy("type").agg(count.alias("n_papers"))
+    return t.works.groupBy("type").agg(count().alias("n_papers"))
 
 
 def _ranked(rows: DataFrame, top: int, *order: Column) -> DataFrame:
@@ -60,16 +59,16 @@ def top_authors(t: Tables, top: int = 20) -> DataFrame:
 
 
 def top_sources(t: Tables, top: int = 20) -> DataFrame:
-    rows = t.works.where("source_name <> ''").groupBy(F.col("source_id").alias("id")).agg(F.min("source_name").alias("name"), F.min("source_type").alias("type"), count.alias("n_papers"), F.sum("citations").alias("total_citations"), S.h_index(F.collect_list("citations")).alias("h_index"))
+    rows = t.works.where("source_name <> ''").groupBy(F.col("source_id").alias("id")).agg(F.min("source_name").alias("name"), F.min("source_type").alias("type"), count().alias("n_papers"), F.sum("citations").alias("total_citations"), S.h_index(F.collect_list("citations")).alias("h_index"))
     rows = rows.select("id", "name", "type", "n_papers", "total_citations", (F.col("total_citations") / F.col("n_papers")).alias("avg_citations"), "h_index")
     return _ranked(rows, top, F.desc("n_papers"), F.desc("total_citations"), F.asc("id"))
 
 
 def top_topics(t: Tables, top: int = 30, min_count: int = 1) -> DataFrame:
     """Topic mentions, their share of all papers in percent, mean score, citations."""
-    total = t.works.agg(count.alias("total"))
+    total = t.works.agg(count().alias("total"))
     listed = t.topics.join(t.works.select("work_id", "citations"), "work_id")
-    rows = listed.groupBy(F.col("topic_id").alias("id")).agg(F.min("topic").alias("name"), count.alias("frequency"), F.avg("score").alias("avg_score"), F.sum("citations").alias("total_citations")).where(F.col("frequency") >= min_count)
+    rows = listed.groupBy(F.col("topic_id").alias("id")).agg(F.min("topic").alias("name"), count().alias("frequency"), F.avg("score").alias("avg_score"), F.sum("citations").alias("total_citations")).where(F.col("frequency") >= min_count)
     rows = rows.crossJoin(F.broadcast(total))  # one row
     rows = rows.select("id", "name", "frequency", (F.col("frequency") / F.col("total") * 100).alias("percentage"), "avg_score", "total_citations", (F.col("total_citations") / F.col("frequency")).alias("avg_citations"))
     return _ranked(rows, top, F.desc("frequency"), F.desc("total_citations"), F.asc("id"))

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-
-count = F.count(F.lit(1))
+from paperloom.functions.scalars import count
 
 
 def documents_terms(docs: DataFrame, text: Column, ngram: tuple[int, int] = (1, 2), pattern: str = T.TOKEN_PATTERN, stopwords: tuple[str, ...] = T.ENGLISH_STOPWORDS, aliases: DataFrame | None = None) -> DataFrame:
@@ -22,12 +21,12 @@ def documents_terms(docs: DataFrame, text: Column, ngram: tuple[int, int] = (1,
 def term_counts(terms: DataFrame) -> DataFrame:
     """Occurrences and documents of each term that carries meaning."""
     rows = terms.where(~T.is_low_signal(F.col("term")))
-    per_doc = rows.groupBy("term", "doc_id").agg(count.alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("count"), count.alias("doc_count"))
+    per_doc = rows.groupBy("term", "doc_id").agg(count().alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("count"), count().alias("doc_count"))
 
 
 def dropped_terms(terms: DataFrame, top: int = 50) -> DataFrame:
-    return terms.where(T.is_low_signal(F.col("term"))).groupBy("term").agg(count.alias("count")).orderBy(F.desc("count"), "term").limit(top)
+    return terms.where(T.is_low_signal(F.col("term"))).groupBy("term").agg(count().alias("count")).orderBy(F.desc("count"), "term").limit(top)
 
 
 def allowed_terms(counts: DataFrame, min_count: int = 2) -> DataFrame:
@@ -38,13 +37,13 @@ def edges(terms: DataFrame, allowed: DataFrame, top: int = 300, min_weight: int
     """Pairs of allowed terms that share documents. Terms are filtered before pairing, which is quadratic in a document."""
     kept = terms.join(allowed.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     made = kept.select(F.explode(T.pairs(F.col("terms"))).alias("p")).select("p.source", "p.target")
-    return made.groupBy("source", "target").agg(count.alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
+    return made.groupBy("source", "target").agg(count().alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
 
 
 def degrees(kept_edges: DataFrame) -> DataFrame:
     """Degree and weighted degree over the kept edges."""
     ends = kept_edges.select(F.explode(F.array("source", "target")).alias("term"), "weight")
-    return ends.groupBy("term").agg(count.alias("degree"), F.sum("weight").alias("weighted_degree"))
+    return ends.groupBy("term").agg(count().alias("degree"), F.sum("weight").alias("weighted_degree"))
 
 
 def term_table(counts: DataFrame, kept_edges: DataFrame, top: int = 100) -> DataFrame:
@@ -57,14 +56,14 @@ def term_table(counts: DataFrame, kept_edges: DataFrame, top: int = 100) -> Data
 def term_by_year(terms: DataFrame, years: DataFrame, wanted: DataFrame) -> DataFrame:
     """Yearly occurrences of wanted terms. ``years``: doc_id, year."""
     rows = terms.join(wanted.select("term"), "term", "left_semi").join(years, "doc_id").where("year is not null")
-    return rows.groupBy("year", "term").agg(count.alias("count"))
+    return rows.groupBy("year", "term").agg(count().alias("count"))
 
 
 def clusters(members: DataFrame, counts: DataFrame, kept_edges: DataFrame, top_terms: int = 10) -> DataFrame:
     """Aggregates of term clusters. ``members``: term, cluster."""
     rows = members.join(counts, "term", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "term")), asc=False)
-    base = rows.groupBy("cluster").agg(count.alias("term_count"), F.sum("count").alias("occurrence_frequency"), F.sum("doc_count").alias("doc_frequency"), F.transform(F.slice(order, 1, top_terms), lambda x: x["term"]).alias("top_terms"))
+    base = rows.groupBy("cluster").agg(count().alias("term_count"), F.sum("count").alias("occurrence_frequency"), F.sum("doc_count").alias("doc_frequency"), F.transform(F.slice(order, 1, top_terms), lambda x: x["term"]).alias("top_terms"))
     side = lambda end, name: members.select(F.col("term").alias(end), F.col("cluster").alias(name))
     ends = kept_edges.join(side("source", "a"), "source").join(side("target", "b"), "target")
     links = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"), "weight", (F.col("a") == F.col("b")).alias("inside"))

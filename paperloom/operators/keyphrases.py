@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions import udfs as U
+from paperloom.functions.scalars import count
 
-count = F.count(F.lit(1))
 _STOP = tuple(dict.fromkeys((*T.ENGLISH_STOPWORDS, *T.GENERIC_TERMS, *T.RHETORICAL_TERMS)))
 
 
@@ -26,7 +26,7 @@ def candidates(docs: DataFrame, text: Column, custom: tuple[str, ...] = (), limi
     pieces = spans.select("doc_id", F.explode(_segments(words)).alias("seg"))
     singles = F.filter(F.col("seg"), lambda w: (F.length(w) > 3) | w.isin(*T.MATH_SYMBOLS))
     rows = pieces.select("doc_id", F.explode(F.concat(T.ngrams(F.col("seg"), 2, 4), singles)).alias("term")).where(~T.is_weak_phrase(F.col("term"), custom))
-    counted = rows.groupBy("doc_id", "term").agg(count.alias("n")).withColumn("words", F.size(F.split("term", " ")))
+    counted = rows.groupBy("doc_id", "term").agg(count().alias("n")).withColumn("words", F.size(F.split("term", " ")))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("words"), F.desc("term"))
     return counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
 
@@ -39,8 +39,8 @@ def prior(n: Column, words: Column, term: Column) -> Column:
 
 def tfidf(found: DataFrame, n_docs: int | None = None) -> DataFrame:
     """Scores of candidates over a corpus: smoothed inverse document frequency, document frequency bonus, prior."""
-    df = found.groupBy("term").agg(count.alias("doc_frequency"))
-    total = found.select("doc_id").distinct().agg(count.alias("total")) if n_docs is None else None
+    df = found.groupBy("term").agg(count().alias("doc_frequency"))
+    total = found.select("doc_id").distinct().agg(count().alias("total")) if n_docs is None else None
     rows = found.join(df, "term")
     rows = rows.crossJoin(F.broadcast(total)) if total is not None else rows.withColumn("total", F.lit(n_docs))  # one row
     idf = F.log((1.0 + F.col("total")) / (1.0 + F.col("doc_frequency"))) + 1.0

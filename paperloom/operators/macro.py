@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
 from paperloom.functions import text as T
+from paperloom.functions.scalars import count
 from paperloom.model.tables import Tables
 
-count = F.count(F.lit(1))
-
 
 def _per_work(t: Tables, key: str) -> DataFrame:
     """Sorted distinct keys of each work; of each key the attributes of its last listing."""
@@ -26,7 +25,7 @@ def _weighted(t: Tables, key: str, counting: str) -> DataFrame:
 def edges(t: Tables, key: str, top: int = 150, min_weight: int = 1) -> DataFrame:
     """Pairs that share works. Pairs are made inside each work's own set, so no join is needed."""
     made = _per_work(t, key).select(F.explode(T.pairs(F.col("keys"))).alias("p")).select("p.source", "p.target")
-    return made.groupBy("source", "target").agg(count.alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
+    return made.groupBy("source", "target").agg(count().alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
 
 
 def _collaborators(t: Tables, key: str) -> DataFrame:
@@ -64,11 +63,11 @@ def density(t: Tables, counting: str = "full") -> DataFrame:
 
 
 def country_by_year(t: Tables) -> DataFrame:
-    return _weighted(t, "country_code", "full").where("year is not null").groupBy("year", "country_code").agg(count.alias("n_papers"))
+    return _weighted(t, "country_code", "full").where("year is not null").groupBy("year", "country_code").agg(count().alias("n_papers"))
 
 
 def institution_by_year(t: Tables) -> DataFrame:
-    return _weighted(t, "institution_id", "full").where("year is not null").groupBy("year", "institution_id").agg(count.alias("n_papers"))
+    return _weighted(t, "institution_id", "full").where("year is not null").groupBy("year", "institution_id").agg(count().alias("n_papers"))
 
 
 def pivot(rows: DataFrame, index: str, columns: str, values: str, known: list[str] | None = None) -> DataFrame:
@@ -80,11 +79,11 @@ def corresponding(t: Tables, top: int = 30) -> DataFrame:
     """Single and multiple country papers by the corresponding author's country (else the first author's, else the only one)."""
     listed = t.institutions.where("country_code <> ''").join(t.authorships.select("work_id", "apos", "is_corresponding"), ["work_id", "apos"], "left")
     chosen = lambda test: F.collect_set(F.when(test, F.col("country_code")))
-    sets = listed.groupBy("work_id").agg(chosen(F.col("is_corresponding") <=> True).alias("c"), chosen(F.col("apos") == 1).alias("f"), F.collect_set("country_code").alias("k"))
+    sets = listed.groupBy("work_id").agg(chosen(F.col("is_corresponding").eqNullSafe(True)).alias("c"), chosen(F.col("apos") == 1).alias("f"), F.collect_set("country_code").alias("k"))
     only = F.when(F.size("k") == 1, F.col("k")).otherwise(F.array().cast("array<string>"))
     rows = sets.select(F.size("k").alias("n"), F.explode(S.first_truthy("c", "f", only, kind="array")).alias("country_code"))
     many = F.count_if(F.col("n") > 1)
-    out = rows.groupBy("country_code").agg(F.count_if(F.col("n") <= 1).alias("scp"), many.alias("mcp"), count.alias("total"))
+    out = rows.groupBy("country_code").agg(F.count_if(F.col("n") <= 1).alias("scp"), many.alias("mcp"), count().alias("total"))
     return out.withColumn("mcp_share", F.col("mcp") / F.col("total")).orderBy(F.desc("total"), "country_code").limit(top)
 
 
@@ -97,14 +96,14 @@ def overview(t: Tables) -> DataFrame:
     """Works with one or several countries and institutions, and shares of those that name any."""
     per_work = t.institutions.groupBy("work_id").agg(F.count_distinct(F.nullif("country_code", F.lit(""))).alias("c"), F.count_distinct("institution_id").alias("i"))
     n: dict[str, Column] = {"single_country": F.col("c") == 1, "multi_country": F.col("c") > 1, "single_institution": F.col("i") == 1, "multi_institution": F.col("i") > 1}
-    row = per_work.where("c > 0 or i > 0").agg(count.alias("records_with_institutions"), *[F.count_if(test).alias(k) for k, test in n.items()])
+    row = per_work.where("c > 0 or i > 0").agg(count().alias("records_with_institutions"), *[F.count_if(test).alias(k) for k, test in n.items()])
     return row.select("*", (F.col("multi_country") / F.col("records_with_institutions")).alias("multi_country_share"))
 
 
 def node_weights(rows: DataFrame) -> DataFrame:
     """Degree and weight of each endpoint of an edge table."""
     ends = rows.select(F.explode(F.array("source", "target")).alias("node"), "weight")
-    return ends.groupBy("node").agg(count.alias("degree"), F.sum("weight").alias("weighted_degree"))
+    return ends.groupBy("node").agg(count().alias("degree"), F.sum("weight").alias("weighted_degree"))
 
 
 def pruned_nodes(rows: DataFrame, papers: DataFrame, keep: int = 36) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
+from paperloom.functions.scalars import count
 from paperloom.model.tables import Tables
 from paperloom.operators.bibliometrics import top_topics
 
-count = F.count(F.lit(1))
-
 
 def topic_landscape(t: Tables, top: int = 30, min_count: int = 2) -> DataFrame:
     return top_topics(t, top, min_count)
@@ -22,7 +21,7 @@ def topic_by_year(t: Tables, top: int = 30, min_count: int = 2, selected: list[s
     if selected:
         wanted = wanted.unionByName(t.topics.where(F.col("topic").isin(selected) | F.col("topic_id").isin(selected)).select("topic_id")).distinct()
     listed = t.topics.join(wanted, "topic_id", "left_semi").join(t.works.select("work_id", "year"), "work_id").where("year is not null")
-    return listed.groupBy("year", "topic_id").agg(F.min("topic").alias("topic"), count.alias("count"))
+    return listed.groupBy("year", "topic_id").agg(F.min("topic").alias("topic"), count().alias("count"))
 
 
 def resolve_topic(dimension: DataFrame, query: str) -> DataFrame:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paperloom.session import table
+from paperloom.model.driver_tables import tables
+from paperloom.operators import bibliometrics
+from paperloom.plans import collections, scholar
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("papers"))
+    return bibliometrics.annual_impact(tables(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return scholar.QUERIES | collections.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scholar.ORACLES | collections.ORACLES

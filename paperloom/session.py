@@ -14,6 +14,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "pape
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: saved collections, records of scholarly services, HTML listings, homepages, result artifacts."""
