@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, near_duplicates, packing, pii, toxicity
-from paperloom.llm.common import Workspace, table
+from paperloom.llm.common import Workspace, flag_possible, table
 from paperloom.llm.queries import tokenizer_path
 
 #: Documents that score this much or more are rejected.
@@ -35,13 +35,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id. Rows with a null id belong to no group."""
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
-    found = Workspace(spark, "kept").write(found.select("doc_id", "kept"), "found")
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Repeated rows: the same id with the same text stays once.
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+    space = Workspace(spark, "kept")
+    found = space.write(near_duplicates.near_duplicates(docs.select("doc_id", "text")), "found")
+    dropped = space.write(found.where("not kept").select("doc_id").distinct(), "dropped")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    odd = space.write(dropped.unionByName(repeated).distinct(), "odd")
+    # Only documents that may be dropped or repeated are shuffled; all others stay where they are.
+    own = _free("_odd", docs)
+    flagged = flag_possible(docs, "doc_id", odd, "doc_id", own)
+    clear = flagged.where(~F.col(own)).select(*docs.columns)
+    doubtful = flagged.where(own).select(*docs.columns).join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # Repeated rows: the same id with the same text stays once.
+    return clear.unionByName(doubtful.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import paperloom
 from paperloom.session import table
 
-__all__ = ["Workspace", "arrow_map", "checkpoint_dir", "components", "possibly_in", "table", "text_bytes"]
+__all__ = ["Workspace", "arrow_map", "checkpoint_dir", "components", "flag_possible", "possibly_in", "table", "text_bytes"]
 
 #: Functions of this package are shipped by value, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(paperloom)
@@ -147,15 +147,24 @@ def components(space: Workspace, edges: DataFrame, most_rounds: int = 60) -> Dat
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
-def possibly_in(df: DataFrame, column: str, keys: DataFrame, key: str, most_blocks: int = 1 << 17) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys``: a blocked Bloom filter of at most ``most_blocks`` rows (5 MB)."""
+def flag_possible(df: DataFrame, column: str, keys: DataFrame, key: str, flag: str, most_blocks: int = 1 << 17) -> DataFrame:
+    """``df`` with a boolean ``flag``: whether ``column`` may be among ``keys`` (never false for one that is).
+
+    The blocked Bloom filter that goes to all executors has at most ``most_blocks`` rows (5 MB), whatever the number of keys.
+    """
     n = keys.count()
     blocks = min(most_blocks, max(16, 1 << (n // 16).bit_length()))
     mask = lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(i)), F.lit(64)).cast("int"))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    words = keys.select(block(F.col(key)).alias("_block"), *[mask(F.col(key), i).alias(f"_w{i}") for i in range(4)])
-    words = words.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(4)])
-    found = df.join(F.broadcast(words), block(F.col(column)) == F.col("_block"))
+    words = keys.select(block(F.col(key)).alias(f"{flag}_block"), *[mask(F.col(key), i).alias(f"{flag}{i}") for i in range(4)])
+    words = words.groupBy(f"{flag}_block").agg(*[F.bit_or(f"{flag}{i}").alias(f"{flag}{i}") for i in range(4)])
+    found = df.join(F.broadcast(words), block(F.col(column)) == F.col(f"{flag}_block"), "left")
+    passes = F.col(column).isNotNull()
     for i in range(4):
-        found = found.where(F.col(f"_w{i}").bitwiseAND(mask(F.col(column), i)) == mask(F.col(column), i))
-    return found.drop("_block", *[f"_w{i}" for i in range(4)])
+        passes = passes & (F.col(f"{flag}{i}").bitwiseAND(mask(F.col(column), i)) == mask(F.col(column), i))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(passes, F.lit(False)).alias(flag))
+
+
+def possibly_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys``."""
+    return flag_possible(df, column, keys, key, "_possible").where("_possible").drop("_possible")
