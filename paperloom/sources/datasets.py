@@ -62,9 +62,10 @@ def load(spark: SparkSession, path: str, columns: str = schema.WORK) -> Collecti
     if data.endswith(".parquet"):
         return Collection(spark.read.parquet(data), path, metadata)
     lines = data.endswith(".jsonl")
-    # Rows that aren't records are dropped, as is what doesn't parse.
+    # Rows that aren't records (none of their first columns is set) are dropped, as is what doesn't parse.
     rows = spark.read.schema(f"{columns}, _corrupt_record string").json(data, multiLine=not lines, mode="PERMISSIVE")
-    kept = rows.where("_corrupt_record is null").drop("_corrupt_record")
+    some = F.coalesce(*[F.col(c).cast("string") for c in rows.columns[:3]])
+    kept = rows.where(some.isNotNull() & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return Collection(kept, path, metadata)
 
 
