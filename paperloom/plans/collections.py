@@ -12,6 +12,7 @@ from paperloom.operators import coword as cw
 from paperloom.plans import scholar
 from paperloom.session import table
 from paperloom.sources import html_links, records
+from paperloom.streaming import arrivals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +240,28 @@ def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representative_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = cluster.lda(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, iterations=2, max_features=500)
     return cluster.representatives(documents)
+
+
+@register("event_windows", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming plan over a batch: watermarks don't matter there."""
+    rows = arrivals.discoveries_by_window(table(spark, sf_dir, "events"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@register("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arrivals.sessions(table(spark, sf_dir, "events"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@register("deep_search")
+def deep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keyword rounds over the mapped works, judged by their citations, expanded and ranked."""
+    from paperloom.model.driver_tables import tables
+    from paperloom.operators import deep
+
+    t = tables(spark, sf_dir)
+    scores = t.works.select(F.col("work_id").cast("string").alias("store_id"), F.least(F.col("citations") / 500.0, F.lit(1.0)).alias("score"))
+    return deep.deep_search(t, ["work 1", "work 22"], scores, YEAR).select("store_id", "title", "year", "citation_count", "importance_score")

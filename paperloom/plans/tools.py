@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from paperloom.model.tables import Tables
-from paperloom.operators import authors, bibliometrics, citations, cluster, coword, embed, graph, macro, readiness, search, store, topics
+from paperloom.operators import authors, bibliometrics, citations, cluster, coword, deep, embed, graph, macro, readiness, search, store, topics
 
 
 @dataclass(frozen=True)
@@ -109,6 +109,22 @@ _add("ds.store.stats", "How much stays inside", citations.network_stats)
 _add("ds.store.rank", "Works by importance", lambda t, current_year, top: store.top_k(store.importance(t.works.select(F.col("work_id").alias("store_id"), "year", F.col("citations").alias("citation_count"), F.lit(None).cast("double").alias("embedding_sim"), F.col("source_name").alias("venue")), current_year), top), {"current_year": Bound(int), "top": Bound(int, 50, 1, 1000)}, ("current_year",))
 
 
+# Operations on a session's store; the session's id comes from ds.session.new.
+SESSIONS = deep.Sessions()
+_SESSION = {"session_id": Bound(str)}
+
+
+def _ids(t: Tables, ids: str):
+    return t.works.select(F.col("work_id").cast("string").alias("store_id")).where(F.col("store_id").isin(*[i.strip() for i in ids.split(",")]))
+
+
+_add("ds.session.new", "A new session with an empty store", lambda t: {"session_id": SESSIONS.new().session_id})
+_add("ds.papers.search", "Search and add to the store", lambda t, session_id, keywords, limit, year_upper_limit: deep.search_papers(SESSIONS.get(session_id), t, keywords, limit, year_upper_limit), _SESSION | {"keywords": Bound(str), "limit": Bound(int, 100, 1, 1000), "year_upper_limit": Bound(int)}, ("session_id", "keywords"))
+_add("ds.store.expand", "Add references or citing works of the store's papers", lambda t, session_id, direction, limit: deep.expand(SESSIONS.get(session_id), t, direction, limit, only_seeds=False), _SESSION | {"direction": Bound(str, "references", choices=("references", "citations")), "limit": Bound(int, 50, 1, 1000)}, ("session_id",))
+_add("ds.store.seeds.mark", "Mark papers (ids joined by commas) as seeds", lambda t, session_id, paper_ids: {"seeds": deep.mark_seeds(SESSIONS.get(session_id), _ids(t, paper_ids))}, _SESSION | {"paper_ids": Bound(str)}, ("session_id", "paper_ids"))
+_add("ds.store.session_rank", "The store's papers by importance", lambda t, session_id, current_year, top: deep.rank(SESSIONS.get(session_id), t, current_year, None, top), _SESSION | {"current_year": Bound(int), "top": Bound(int, 50, 1, 1000)}, ("session_id", "current_year"))
+
+
 def list_tools() -> list[str]:
     return sorted(TOOLS)
 

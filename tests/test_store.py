@@ -57,3 +57,25 @@ def test_identity(spark):
     asked = spark.createDataFrame([("q1", None, "doi:10.1/A", None, None), ("q2", None, None, "arXiv:2101.1", None), ("q3", None, None, None, "deep nets for All"), ("q4", None, None, None, "other")], "req string, id string, doi string, arxiv_id string, title string")
     got = {r["req"]: (r["id"], r["stage"]) for r in identity.resolve(asked, papers).collect()}
     assert got == {"q1": ("W1", 1), "q2": ("W2", 2), "q3": ("W1", 3), "q4": (None, None)}
+
+
+def test_deep_search_and_sessions(spark):
+    from paperloom.model.driver_tables import tables
+    from paperloom.operators import deep
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    scores = t.works.select(F.col("work_id").cast("string").alias("store_id"), (F.col("work_id") % 10 / 10.0).alias("score"))
+    found = deep.deep_search(t, ["work 1", "work 22"], scores, 2002, seeds=3, top=20)
+    rows = found.collect()
+    assert 0 < len(rows) <= 20 and rows == sorted(rows, key=lambda r: -r["importance_score"])
+    now = [0.0]
+    held = deep.Sessions(ttl=10, clock=lambda: now[0])
+    first = held.new()
+    now[0] = 8
+    held.get(first.session_id)
+    now[0] = 17
+    second = held.new()
+    assert set(held.held) == {first.session_id, second.session_id}
+    now[0] = 40
+    third = held.new()
+    assert set(held.held) == {third.session_id}
