@@ -32,7 +32,7 @@ from paperloom.llm.decontaminate import MEMORY, gram_hashes
 
 WIDTH, M, BAND, MANTISSA = 5, 128, 4, 10
 #: Classes and shingles of a tile; classes of a group that is compared as a whole.
-TILE, TILE_SHINGLES, GROUP = 256, 1 << 20, 1 << 15
+TILE, TILE_SHINGLES, GROUP = 128, 1 << 19, 1 << 15
 #: Chance that two different elements give one register value: equal leading zeros (1/3) and equal mantissas.
 COLLISION = 1 / (3 << MANTISSA)
 #: Standard deviations below the threshold at which an estimate still goes to verification.
