@@ -6,8 +6,8 @@ are the same or have the same shape share skip potentials with their next occurr
 evidence; loopy belief propagation carries their labels along both kinds of edges, so that one entity is labelled alike
 throughout a document. Tokens whose marginal reaches ``SURE`` become further spans; base spans always stay.
 
-The weights are trained by pseudo-likelihood on the base labels of at most ``SAMPLE`` documents (chosen by a hash of the id,
-of at most ``SAMPLE_CHARS`` characters); tokens inside matches that fail a check count as unknown there.
+The weights are trained by pseudo-likelihood on the base labels of at most ``SAMPLE`` documents (drawn by a hash of the
+id, of at most ``SAMPLE_CHARS`` characters); tokens inside matches that fail a check count as unknown there.
 
 Nulls and empty texts have no spans. Each row is judged by itself and whole; repeated rows and null ids come back as they
 are; extra columns are ignored. All scans are linear in the text. Offsets count code points.
@@ -271,8 +271,11 @@ def find(model: Model, texts: list[str]) -> list[tuple[list[tuple[int, int, int]
 
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Model:
     """Fit on the base labels of a bounded sample of documents that hold candidates."""
-    chosen = documents.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    chosen = chosen.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).orderBy("h", "text").limit(most)
+    rows = documents.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    # A share of the ids, by hash, so that no task has to hand its own best rows to the driver; few texts hold candidates.
+    share = min(1.0, 20 * most / max(1, documents.count()))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = drawn.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).limit(most)
     graph = Graph()
     for n, row in enumerate(chosen.collect()):
         graph.add(n, row["text"], *base_spans(row["text"]), True)
