@@ -188,3 +188,13 @@ def stats(store: DataFrame, current_round: int = 0) -> DataFrame:
     words = store.select(F.explode(F.transform("history", lambda x: x["keywords"])).alias("k")).where("k is not null").agg(F.count_distinct("k").alias("keywords_used"))
     row = store.agg(count().alias("total_papers"), F.count_if(first == "search").alias("search_papers"), F.count_if(first == "citation").alias("citation_papers"), F.avg("citation_count").alias("avg_citation_count"))
     return row.crossJoin(F.broadcast(words)).withColumn("current_round", F.lit(current_round))  # one row each
+
+
+def save(store: DataFrame, path: str) -> None:
+    store.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """A saved store; rows of older files without a history get an empty one."""
+    rows = spark.read.parquet(path)
+    return rows if "history" in rows.columns else rows.withColumn("history", F.array().cast("array<struct<seq: bigint, round: int, source: string, keywords: string, parent_id: string, search_rank: int>>"))

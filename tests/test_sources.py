@@ -68,3 +68,56 @@ def test_opencitations_and_router(spark):
     assert (row["doi"], row["pmid"], row["omid"]) == ("10.1/X", "7", "br/1")
     assert [records.conference_source(v) for v in ("ICLR", "CVPR", "ICML", "ACL", "SIGMOD")] == ["openreview", "cvf", "pmlr", "acl", "dblp"]
     assert records.conference_source("x", collection_id="v139") == "pmlr" and records.conference_source("x", "acl") == "acl"
+
+
+def test_paged_source(spark, tmp_path):
+    from paperloom.sources import paged
+
+    for name, pages in {"a": [["1", "2"], ["3"]], "b": [["4"]]}.items():
+        (tmp_path / name).mkdir()
+        for n, ids in enumerate(pages):
+            cursor = f"c{n + 1}" if n + 1 < len(pages) else None
+            (tmp_path / name / ("first.json" if n == 0 else f"c{n}.json")).write_text(json.dumps({"results": [{"id": i, "title": f"t{i}"} for i in ids], "meta": {"next_cursor": cursor}}))
+    paged.register(spark)
+    read = spark.read.format("paged_json").schema("title string, id string").option("path", str(tmp_path)).load()
+    assert sorted(r["id"] for r in read.collect()) == ["1", "2", "3", "4"]
+    assert [r["title"] for r in read.where("id = '3'").collect()] == ["t3"]
+    assert len(list(paged.follow(lambda c, n: {"results": [{}] * n, "meta": {"next_cursor": "x"}}, 450))) == 450
+
+
+def test_retries():
+    import io
+    import urllib.error
+
+    from paperloom.sources import paged
+
+    calls, pauses = [], []
+
+    def opener(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) < 3:
+            raise urllib.error.HTTPError("u", 503, "busy", {}, None)
+        return io.BytesIO(b'{"ok": 1}')
+
+    assert paged.get_json("http://x", {"a": 1}, opener=opener, sleep=pauses.append) == {"ok": 1}
+    assert calls[0] == "http://x?a=1" and pauses == [1.0, 2.0]
+    with pytest.raises(urllib.error.HTTPError):
+        paged.get_json("http://x", opener=lambda r, timeout: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "no", {}, None)), sleep=pauses.append)
+
+
+def test_model_answers():
+    from paperloom.plans import requests
+
+    assert requests.parse_keywords('text ["a", "b", "a"] end') == ["a", "b"]
+    assert requests.parse_keywords("- deep nets\n2. spin\n\n") == ["deep nets", "spin"]
+    assert requests.parse_criteria('{"criteria": [{"name": "x", "weight": 3}, {"name": "y", "weight": 1}, {"name": "z", "weight": 0}]}') == [{"name": "x", "weight": 0.75}, {"name": "y", "weight": 0.25}]
+    assert requests.parse_criteria("none") == [] and requests.category("Datasets") == "data" and requests.category(None) == "other"
+
+
+def test_figures(spark):
+    from paperloom.sources import figures
+
+    made = figures.spec(spark.createDataFrame([(2000, 3)], "year int, n int"), "bar", "Papers", "year", "n")
+    assert json.loads(figures.dumps(made))["rows"] == [{"year": 2000, "n": 3}]
+    with pytest.raises(ValueError, match="kind"):
+        figures.spec(spark.range(1), "pie", "t", "id", "id")
