@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Workspace, components
+from paperloom.llm.common import Workspace, arrow_map, components
 
-#: Rows of a super-tile and of a tile; leading dimensions of the first pass.
-SUPER, TILE, LEAD = 8192, 256, 16
+#: Most and least rows of a super-tile (at least ``SLABS`` of them are made, so that their pairs spread over tasks), rows of
+#: a tile, leading dimensions of the first pass.
+SUPER, SUPER_LEAST, SLABS, TILE, LEAD = 8192, 1024, 16, 256, 16
 _NEAR = 1e-9
 
 
@@ -160,18 +161,19 @@ def _super_pairs(cuts: list[float], threshold: float) -> list[list[int]]:
     return [[j for j in range(i, n) if low[i] - high[j] <= reach] for i in range(n)]
 
 
-def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows: int) -> DataFrame:
+def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows: int | None) -> DataFrame:
     """Counts (``key``, ``n``) and forest edges (``u``, ``v``) among classes of one length."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     # Scaled by the largest component first: squares of huge or tiny numbers neither overflow nor vanish.
     top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     scaled = F.transform("v", lambda x: x.cast("double") / F.col("top"))
-    unit = classes.withColumn("top", top).withColumn("v", scaled).withColumn("norm", norm(F.col("v")))
+    unit = classes.withColumn("given", F.col("v")).withColumn("top", top).withColumn("v", scaled).withColumn("norm", norm(F.col("v")))
     axes = rotation(unit.select(F.transform("v", lambda x: x / F.col("norm")).alias("v")), dim)
-    slabs = -(-n // super_rows)
+    slabs = -(-n // (super_rows or min(SUPER, max(SUPER_LEAST, -(-n // SLABS)))))
     first = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axes[:, 0]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.col("norm")
     jitter = F.xxhash64("key") * F.lit(1e-9 / 2**63)  # spreads vectors that are equal on the axis
-    placed = unit.select("key", "rep", "n", "v", (first + jitter).alias("y"))
+    # The vectors travel as they were given; single precision takes half the room.
+    placed = unit.select("key", "rep", "n", "given", (first + jitter).alias("y"))
     cuts = sorted(set(placed.approxQuantile("y", [k / slabs for k in range(1, slabs)], 0.2 / slabs))) if slabs > 1 else []
     # The jitter moves a vector less than the bound's slack allows for.
     partners = _super_pairs(cuts, threshold)
@@ -183,18 +185,23 @@ def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows
             of_slab.setdefault(j, []).append(k)
     side = {k: p for k, p in enumerate(pairs)}
 
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["slab"] = np.searchsorted(cuts, part["y"].to_numpy(), "right")
-            part["pair"] = [of_slab[x] for x in part["slab"]]
-            yield part[["key", "rep", "n", "v", "slab", "pair"]]
+    def deal():
+        def place(batch: pa.RecordBatch) -> Iterator[dict]:
+            key, rep, n, v, y = batch.columns
+            slab = np.searchsorted(cuts, y.to_numpy(), "right")
+            yield {"key": key, "rep": rep, "n": n, "v": v, "slab": slab, "pair": [of_slab[x] for x in slab.tolist()]}
+
+        return place
 
-    dealt = placed.mapInPandas(deal, "key string, rep bigint, n bigint, v array<double>, slab int, pair array<int>").withColumn("pair", F.explode("pair"))
+    kind = dict(classes.dtypes)["v"]
+    dealt = arrow_map(placed, ["key", "rep", "n", "given", "y"], f"key string, rep bigint, n bigint, v {kind}, slab int, pair array<int>", deal).withColumn("pair", F.explode("pair"))
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         i, j = side[group["pair"][0].as_py()]
-        given = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), dim)
+        given = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(group), dim)
+        top = np.abs(given).max(1, keepdims=True)
+        given /= np.where((top > 1e100) | (top < 1e-100), top, 1.0)  # squares of huge or tiny numbers stay in range
         turned = (given @ axes) / np.sqrt((given**2).sum(1))[:, None]
         rep, weight, slab = (group[c].to_numpy() for c in ("rep", "n", "slab"))
         sides = []
@@ -218,7 +225,7 @@ def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows
     return dealt.groupBy("pair").applyInArrow(work, "key string, n bigint, u bigint, v bigint")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", super_rows: int = SUPER) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", super_rows: int | None = None) -> DataFrame:
     """For each row: the id, ``n_links``, ``component_id``, ``kept`` (the id is the component's smallest)."""
     space = Workspace(vectors.sparkSession, "embeddings")
     v = F.col("v")

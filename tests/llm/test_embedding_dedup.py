@@ -24,7 +24,7 @@ def brute(rows, threshold=0.9):
     return {i: (links[i], find(i), find(i) == i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("super_rows", [40, 4096])
+@pytest.mark.parametrize("super_rows", [40, None])
 def test_matches_brute_force(spark, super_rows):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 24))
