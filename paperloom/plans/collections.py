@@ -160,7 +160,7 @@ def doi_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(n.alias("id"), S.doi_key(raw).alias("doi"), S.arxiv_key(arxiv).alias("arxiv"))
 
 
-@register("status_pivot", "SELECT year, count(*) FILTER (WHERE s = 'F') AS F, count(*) FILTER (WHERE s = 'O') AS O, count(*) FILTER (WHERE s = 'P') AS P FROM (SELECT year(o_orderdate) AS year, o_orderstatus AS s FROM orders) GROUP BY year")
+@register("status_pivot", "SELECT CAST(year AS INT) AS year, count(*) FILTER (WHERE s = 'F') AS F, count(*) FILTER (WHERE s = 'O') AS O, count(*) FILTER (WHERE s = 'P') AS P FROM (SELECT year(o_orderdate) AS year, o_orderstatus AS s FROM orders) GROUP BY year")
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.operators import macro
 
