@@ -10,8 +10,11 @@ from paperloom.functions.scalars import count
 
 
 def documents_terms(docs: DataFrame, text: Column, ngram: tuple[int, int] = (1, 2), pattern: str = T.TOKEN_PATTERN, stopwords: tuple[str, ...] = T.ENGLISH_STOPWORDS, aliases: DataFrame | None = None) -> DataFrame:
-    """One row for each occurrence of a term: ``doc_id``, ``term``. ``aliases`` (term, canonical) rename terms before they count."""
-    rows = docs.select("doc_id", F.explode(T.ngrams(T.tokens(text, pattern, stopwords), *ngram)).alias("raw")).select("doc_id", T.clean_term(F.col("raw")).alias("term")).where("term <> ''")
+    """One row for each occurrence of a term: ``doc_id``, ``term``. ``aliases`` (term, canonical) rename terms before they count.
+
+    Tokens of the patterns and their n-grams already have the form that ``clean_term`` gives, so it isn't run on each.
+    """
+    rows = docs.select("doc_id", F.explode(T.ngrams(T.tokens(text, pattern, stopwords), *ngram)).alias("term"))
     if aliases is not None:
         known = aliases.select(T.clean_term(F.col("term")).alias("term"), T.clean_term(F.col("canonical")).alias("canonical"))
         rows = rows.join(known, "term", "left").select("doc_id", F.coalesce("canonical", "term").alias("term"))
@@ -20,9 +23,11 @@ def documents_terms(docs: DataFrame, text: Column, ngram: tuple[int, int] = (1,
 
 def term_counts(terms: DataFrame) -> DataFrame:
     """Occurrences and documents of each term that carries meaning."""
-    rows = terms.where(~T.is_low_signal(F.col("term")))
-    per_doc = rows.groupBy("term", "doc_id").agg(count().alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("count"), count().alias("doc_count"))
+    per_doc = terms.groupBy("term", "doc_id").agg(count().alias("n"))
+    counted = per_doc.groupBy("term").agg(F.sum("n").alias("count"), count().alias("doc_count"))
+    # Inside a test that is random by name (and always true), the costly rule stays above the aggregation: it runs once for
+    # each distinct term. Spark would move a plain filter on the grouping key below, to every occurrence.
+    return counted.where(F.when(F.rand(0) >= 0, ~T.is_low_signal(F.col("term"))).otherwise(F.lit(False)))
 
 
 def dropped_terms(terms: DataFrame, top: int = 50) -> DataFrame:

@@ -10,7 +10,7 @@ from paperloom.functions import udfs as U
 from paperloom.operators import cluster, embed, graph, identity, store, topics
 from paperloom.operators import coword as cw
 from paperloom.plans import scholar
-from paperloom.session import table
+from paperloom.session import spread, table
 from paperloom.sources import html_links, records
 from paperloom.streaming import arrivals
 
@@ -192,7 +192,7 @@ def csrankings_homepages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("hash_embed")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", U.hash_vector_udf(F.col("text"), 384).alias("embedding"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", U.hash_vector_udf(F.col("text"), 384).alias("embedding"))
 
 
 @register("nearest_vectors")
@@ -227,18 +227,18 @@ def coword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lda_topics")
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = cluster.lda(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, iterations=3, max_features=500)
+    found, _ = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=3, max_features=500)
     return found.select("topic_id", "label", "doc_count", F.size("words").alias("n_words"))
 
 
 @register("kmeans_topics")
 def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, iterations=5)
+    return cluster.kmeans(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=5)
 
 
 @register("representative_docs")
 def representative_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, documents = cluster.lda(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, iterations=2, max_features=500)
+    _, documents = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=2, max_features=500)
     return cluster.representatives(documents)
 
 

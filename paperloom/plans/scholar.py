@@ -13,7 +13,7 @@ from paperloom.model.driver_tables import SQL, tables
 from paperloom.operators import authors, bibliometrics, citations, macro, readiness, search, topics
 from paperloom.operators import coword as cw
 from paperloom.operators import keyphrases as kp
-from paperloom.session import table
+from paperloom.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,7 +167,7 @@ def _low(term: str) -> str:
 
 
 def _terms(spark: SparkSession, sf_dir: str, ngram: tuple[int, int] = (1, 1)) -> DataFrame:
-    return cw.documents_terms(table(spark, sf_dir, "documents"), F.col("text"), ngram, T.PORTABLE_PATTERN)
+    return cw.documents_terms(spread(table(spark, sf_dir, "documents")), F.col("text"), ngram, T.PORTABLE_PATTERN)
 
 
 @register("term_frequency", f"WITH {_TOKENS}, g AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT term, count(*) AS count, count(DISTINCT doc_id) AS doc_count FROM g WHERE NOT {_low('term')} GROUP BY term", mapped=False)
@@ -203,20 +203,20 @@ def term_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("term_by_year", f"WITH {_BEST} SELECT CAST(2000 + doc_id % 10 AS INT) AS year, term, count(*) AS count FROM g WHERE term IN (SELECT term FROM c) GROUP BY ALL", mapped=False)
 def term_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, counts, _ = _best(spark, sf_dir)
-    years = table(spark, sf_dir, "documents").select("doc_id", (F.lit(2000) + F.col("doc_id") % 10).cast("int").alias("year"))
+    years = spread(table(spark, sf_dir, "documents")).select("doc_id", (F.lit(2000) + F.col("doc_id") % 10).cast("int").alias("year"))
     return cw.term_by_year(terms, years, counts)
 
 
 @register("tfidf_terms", f"WITH {_TOKENS}, g AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok), f AS (SELECT term, count(*) AS df FROM g GROUP BY term), n AS (SELECT count(*) AS n FROM documents) SELECT doc_id, term, round(ln((1.0 + n) / (1.0 + df)) + 1.0, 6) AS idf FROM g JOIN f USING (term), n WHERE df >= 5", mapped=False)
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = _terms(spark, sf_dir).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.lit(1))
     return kp.tfidf(found, docs.count()).where("doc_frequency >= 5").select("doc_id", "term", F.round("tfidf_score", 6).alias("idf"))
 
 
 @register("keyphrase_candidates")
 def keyphrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kp.candidates(table(spark, sf_dir, "documents"), F.col("text"))
+    return kp.candidates(spread(table(spark, sf_dir, "documents")), F.col("text"))
 
 
 @register("keyphrases_tfidf")
@@ -226,5 +226,5 @@ def keyphrases_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("keyphrases_hash")
 def keyphrases_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return kp.nonredundant(kp.hash_ranked(kp.candidates(docs, F.col("text"), limit=60), docs.select("doc_id", "text")))

@@ -23,3 +23,12 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "pape
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer parts than that (one file with one row group is one part).
+
+    Only for plans whose work on a row far outweighs moving it; a large table has enough parts and is not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
