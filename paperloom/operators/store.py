@@ -20,12 +20,15 @@ HIGH, BOOST = 0.93, 0.3
 CARRIED = ("title", "year", "venue", "citation_count")
 
 
-def resolve(arrivals: DataFrame) -> DataFrame:
-    """The store id of arrivals (``seq, openalex_id, corpus_id, ...``): that of the first row with the same openalex id, else the
-    corpus id, else the openalex id. Rows without either id go."""
+def resolve(arrivals: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """The store id of arrivals (``seq, openalex_id, corpus_id, ...``): that of the store's row, or else of the first arrival,
+    with the same openalex id; else the corpus id, else the openalex id. Rows without either id go."""
     rows = arrivals.where(F.coalesce(F.nullif("openalex_id", F.lit("")), F.nullif("corpus_id", F.lit(""))).isNotNull())
     own = F.coalesce(F.nullif("corpus_id", F.lit("")), F.nullif("openalex_id", F.lit("")))
-    first = rows.where("openalex_id <> ''").groupBy("openalex_id").agg(F.min_by(own, "seq").alias("_first"))
+    known = rows.where("openalex_id <> ''").select("openalex_id", own.alias("own"), F.col("seq").cast("bigint").alias("seq"))
+    if store is not None:
+        known = known.unionByName(store.where("openalex_id is not null").select("openalex_id", F.col("store_id").alias("own"), F.lit(-1).cast("bigint").alias("seq")))
+    first = known.groupBy("openalex_id").agg(F.min_by("own", "seq").alias("_first"))
     return rows.join(first, "openalex_id", "left").withColumn("store_id", F.coalesce("_first", own)).drop("_first")
 
 
@@ -35,7 +38,7 @@ def upsert(store: DataFrame | None, arrivals: DataFrame) -> DataFrame:
     The first arrival of an id gives the attributes; later ones add discoveries, parents and a missing openalex id. One
     shuffle by id: the store's rows and the arrivals are united and folded.
     """
-    rows = resolve(arrivals)
+    rows = resolve(arrivals, store)
     event = F.struct("seq", "round", "source", "keywords", "parent_id", "search_rank")
     fresh = rows.select("store_id", F.col("seq").alias("seq"), F.nullif("openalex_id", F.lit("")).alias("openalex_id"), *CARRIED, F.array(event).alias("history"))
     if store is not None:

@@ -20,9 +20,10 @@ def test_upsert_merges_ids_and_history(filled):
 
 
 def test_upsert_in_rounds(spark, filled):
-    more = spark.createDataFrame([(9, "W2", "W2", "again", 1, "", 1, 2, "citation", None, "1", None), (10, "W3", "3", "three", 2010, "", 1, 2, "search", "k3", None, 1)], ARRIVAL)
+    more = spark.createDataFrame([(9, "W2", "W2", "again", 1, "", 1, 2, "citation", None, "1", None), (10, "W3", "3", "three", 2010, "", 1, 2, "search", "k3", None, 1), (11, "W1", "99", "known", 1, "", 1, 2, "search", "k3", None, 1)], ARRIVAL)
     got = {r["store_id"]: r for r in store.history_columns(store.upsert(filled, more)).collect()}
     assert got["W2"]["title"] == "two" and got["W2"]["n_discoveries"] == 2 and got["3"]["openalex_id"] == "W3"
+    assert "99" not in got and got["1"]["n_discoveries"] == 4 and got["1"]["title"] == "one"
     assert store.stats(filled, 2).first()["keywords_used"] == 2
 
 
