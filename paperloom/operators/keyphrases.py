@@ -22,7 +22,7 @@ def candidates(docs: DataFrame, text: Column, custom: tuple[str, ...] = (), limi
     """Candidate phrases of each document: ``doc_id``, ``term``, ``n`` (occurrences), ``words``, best first up to ``limit``."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
     spans = docs.select("doc_id", F.explode(F.split(plain, r"[.!?;:\n\r\t]+")).alias("span"))
-    words = F.filter(F.split(T.clean_phrase(F.col("span")), " "), lambda w: w != "")
+    words = F.filter(F.split(T.clean_phrase(U.nfkd_udf(F.col("span"))), " "), lambda w: w != "")
     pieces = spans.select("doc_id", F.explode(_segments(words)).alias("seg"))
     singles = F.filter(F.col("seg"), lambda w: (F.length(w) > 3) | w.isin(*T.MATH_SYMBOLS))
     rows = pieces.select("doc_id", F.explode(F.concat(T.ngrams(F.col("seg"), 2, 4), singles)).alias("term")).where(~T.is_weak_phrase(F.col("term"), custom))
@@ -59,7 +59,7 @@ def hash_ranked(found: DataFrame, texts: DataFrame, dimensions: int = 384) -> Da
 
 def lexical_ranked(found: DataFrame, texts: DataFrame) -> DataFrame:
     """Share of a phrase's words that the text holds, plus a bonus for length; where no vectors are wanted."""
-    words = texts.select("doc_id", F.array_distinct(F.split(T.clean_phrase(F.col("text")), " ")).alias("d"))
+    words = texts.select("doc_id", F.array_distinct(F.split(T.clean_phrase(U.nfkd_udf(F.col("text"))), " ")).alias("d"))
     own = F.split("term", " ")
     overlap = F.size(F.array_intersect(own, F.col("d"))) / F.size(F.array_distinct(own))
     return found.join(words, "doc_id").select("doc_id", "term", "words", F.col("n").alias("candidate_count"), (overlap + F.least(F.lit(0.12), 0.04 * (F.col("words") - 1))).alias("score"))

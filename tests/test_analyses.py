@@ -113,6 +113,23 @@ def test_coword_and_keyphrases(spark, t):
     assert "qs" in {r["term"] for r in coword.documents_terms(docs, F.col("text"), (2, 2), aliases=aliases).collect()}
 
 
+def test_keyphrases_of_accented_texts(spark):
+    """The reference's rule: NFKD, lower case, all but ``[a-z0-9 ]`` to spaces."""
+    import re
+    import unicodedata
+
+    texts = ["Café culture", "étude métrique", "\ufb01nite \uff46ield", "Über­blick naïveté"]
+    want = [re.sub(r"\s+", " ", re.sub("[^a-z0-9 ]+", " ", unicodedata.normalize("NFKD", t).lower())).strip().split() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = keyphrases.candidates(docs, F.col("text"))
+    names = {(r["doc_id"], r["term"]) for r in found.collect()}
+    assert all(w in want[n] for n, term in names for w in term.split())
+    assert {(0, "culture"), (2, "finite field"), (2, "finite"), (2, "field")} <= names and (0, "caf") not in names
+    scores = keyphrases.lexical_ranked(found, docs)
+    assert scores.where("doc_id = 2 and term = 'finite field'").first()["score"] > 1.0
+    assert scores.where("score < 1").count() == 0
+
+
 def test_communities_and_components(spark):
     edges = [("a", "b", 3), ("b", "c", 3), ("a", "c", 3), ("x", "y", 2), ("c", "x", 1)]
     group = graph.greedy_communities(edges)
