@@ -137,6 +137,13 @@ _CO = ", c AS (SELECT ref_id, count(DISTINCT work_id) AS co_citation_count, min(
 _tables_query("co_citation", citations.co_citation, f"{_CO} SELECT * FROM j")
 _tables_query("missing_references", lambda t: citations.missing_band(citations.co_citation(replace(t, refs=t.refs.where("work_id % 6 = 0"))).select("ref_id", "co_citation_count"), t.works.where("work_id % 2 = 0")), f"""{_CO.replace("FROM r ", "FROM r WHERE work_id % 6 = 0 ")}, m AS (SELECT ref_id, co_citation_count FROM j WHERE ref_id NOT IN (SELECT work_id FROM w WHERE work_id % 2 = 0)),
 b AS (SELECT CASE WHEN count(*) < 680 THEN 3 WHEN count(*) < 2500 THEN 4 WHEN count(*) < 6800 THEN 5 WHEN count(*) < 14000 THEN 7 ELSE 10 END AS x FROM m) SELECT m.* FROM m, b WHERE co_citation_count BETWEEN x AND least(x + 6, 16)""")
+# The same over all references and works, with the operators' defaults; the SQL of the names above keeps to a share of them.
+_tables_query("missing_references_all", lambda t: citations.missing_band(citations.co_citation(t).select("ref_id", "co_citation_count"), t.works.where("work_id % 2 = 0")), f"""{_CO}, m AS (SELECT ref_id, co_citation_count FROM j WHERE ref_id NOT IN (SELECT work_id FROM w WHERE work_id % 2 = 0)),
+b AS (SELECT CASE WHEN count(*) < 680 THEN 3 WHEN count(*) < 2500 THEN 4 WHEN count(*) < 6800 THEN 5 WHEN count(*) < 14000 THEN 7 ELSE 10 END AS x FROM m) SELECT m.* FROM m, b WHERE co_citation_count BETWEEN x AND least(x + 6, 16)""")
+_tables_query("references_of_all", lambda t: citations.references_of(t, t.works), """, d AS (SELECT DISTINCT work_id, ref_id FROM r WHERE work_id IN (SELECT work_id FROM w)), n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY ref_id) AS n FROM d)
+SELECT n.work_id, n.ref_id, w.title, w.year, w.citations FROM n LEFT JOIN w ON n.ref_id = w.work_id WHERE n <= 50""")
+_tables_query("citations_of_all", lambda t: citations.citations_of(t, t.works), """, d AS (SELECT DISTINCT ref_id AS cited_id, w.work_id, title, year, citations FROM r JOIN w USING (work_id) WHERE ref_id IN (SELECT work_id FROM w) AND citations >= 0)
+SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY cited_id ORDER BY citations DESC, work_id) AS n FROM d) WHERE n <= 100""")
 _tables_query("seed_candidates", lambda t: _score6(citations.seed_candidates(t, 50, years=(1996, 2000)), "in_domain_citation_score", "ratio"), f"""{_DOMAIN} SELECT * REPLACE (round(in_domain_citation_score, 6) AS in_domain_citation_score), round(in_domain_citations / citations, 6) AS ratio FROM d
 WHERE in_domain_citations >= 2 AND citations >= 1 AND year BETWEEN 1996 AND 2000 ORDER BY d.in_domain_citation_score DESC, in_domain_citations DESC, work_id LIMIT 50""")
 _tables_query("references_of", lambda t: citations.references_of(t, t.works.where("work_id % 100 = 0"), 5), """, d AS (SELECT DISTINCT work_id, ref_id FROM r WHERE work_id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY ref_id) AS n FROM d)

@@ -77,6 +77,19 @@ def test_citations(t, spark):
     assert rows(citations.filter_papers(papers, 2005, keep_null_year=False), "id") == [(3,)]
 
 
+def test_reference_queries_over_all_references(spark):
+    """The whole table is asked: works beyond the share that the older names keep to are there."""
+    from paperloom.model.driver_tables import tables
+    from paperloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    t, asked = tables(spark, sf), registry.queries()
+    assert asked["references_of_all"](spark, sf).where("work_id % 100 <> 0").count() > 0
+    assert asked["citations_of_all"](spark, sf).where("cited_id % 10 <> 0").count() > 0
+    counts = citations.co_citation(t).select("ref_id", "co_citation_count")
+    assert asked["missing_references_all"](spark, sf).join(counts, ["ref_id", "co_citation_count"], "left_anti").count() == 0
+
+
 def test_readiness(t):
     status = {x["tool"]: x["status"] for x in readiness.tool_status(t)}
     assert status["analysis.coword"] == "ready" and status["analysis.bibliometrics"] == "ready"
