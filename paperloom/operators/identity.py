@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from paperloom.functions import scalars as S
 from paperloom.functions import udfs as U
 
 #: A title counts as the same from this score on.
 STRICT_TITLE = 0.94
+#: Two titles of that score have lengths within ``_WIDER`` of each other, and at most ``1 - _RATIO`` of all their letters
+#: are unmatched; scores are rounded to three places, hence a little less than ``STRICT_TITLE``.
+_RATIO = STRICT_TITLE - 0.0006
+_WIDER = (2 - _RATIO) / _RATIO
 _KEYS = ("doi", "openalex_id", "s2_id", "s2_corpus_id")
 
 
@@ -49,17 +57,54 @@ def enrich(edges: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.withColumns(filled).drop("_openalex_id", "_doi")
 
 
+def _pieces(n: int) -> tuple[int, int]:
+    """Number and length of the pieces of a title of ``n`` letters, of which every title of a high score holds one as it is:
+    one more than the letters that may be unmatched in both."""
+    many = math.floor((1 - _RATIO) * (n + math.floor(_WIDER * n + 1e-9)) + 1e-9) + 1
+    return many, n // many
+
+
+def title_pieces(title: str) -> list[str]:
+    """Keys of a title that is asked for."""
+    t = title.lower().strip()
+    many, size = _pieces(len(t))
+    return sorted({f"{size} {t[i * size : (i + 1) * size]}" for i in range(many)})
+
+
+def title_keys(title: str) -> list[str]:
+    """All keys by which a title can be found: its substrings of the sizes that titles of a near length are cut into."""
+    t = title.lower().strip()
+    n = len(t)
+    sizes = {_pieces(m)[1] for m in range(math.ceil(n / _WIDER - 1e-9), math.floor(n * _WIDER + 1e-9) + 1)}
+    return sorted({f"{size} {t[i : i + size]}" for size in sizes for i in range(n - size + 1)})
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _pieces_udf(titles: pd.Series) -> pd.Series:
+    return titles.map(title_pieces)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _keys_udf(titles: pd.Series) -> pd.Series:
+    return titles.map(title_keys)
+
+
 def resolve(requests: DataFrame, papers: DataFrame, strict: bool = True) -> DataFrame:
     """Papers that requests (``req, id, doi, arxiv_id, title``) mean: by id, else DOI, else arXiv id, else title.
 
-    Titles are compared by ratio only within blocks of equal first word and length class, so no request meets every paper.
+    Titles are compared by ratio where they share a piece that no title of a score of ``STRICT_TITLE`` can lack, so no request
+    meets every paper. Without ``strict`` any score counts, and each request's title meets all.
     """
     known = papers.withColumns({"_doi": F.lower(S.doi_key(F.col("doi"))), "_arxiv": F.lower(S.arxiv_key(F.col("arxiv_id")))})
     asked = requests.withColumns({"_doi": F.lower(S.doi_key(F.col("doi"))), "_arxiv": F.lower(S.arxiv_key(F.col("arxiv_id")))}).select("req", F.col("id").alias("_id"), "_doi", "_arxiv", F.col("title").alias("_title"))
     stage = lambda n, a, b: asked.where(F.col(a).isNotNull()).join(known.select("id", F.col(b).alias(a)).where(F.col(a).isNotNull()), a).select("req", "id", F.lit(n).alias("stage"), F.lit(1.0).alias("score"))
-    block = lambda c: F.struct(F.get(F.split(F.lower(F.trim(c)), r"\s+"), 0).alias("w"), F.floor(F.log2(F.length(c) + 1.0)).alias("n"))
-    titles = known.where("title <> ''").select("id", "title", block(F.col("title")).alias("_b"))
-    near = asked.where("_title <> ''").withColumn("_b", block(F.col("_title"))).join(titles, "_b").withColumn("score", U.title_score_udf(F.col("_title"), F.col("title")))
+    titles, wanted = known.where("title <> ''").select("id", "title"), asked.where("_title <> ''").select("req", "_title")
+    if strict:
+        keys = titles.withColumn("_k", F.explode(_keys_udf(F.col("title"))))
+        near = wanted.withColumn("_k", F.explode(_pieces_udf(F.col("_title")))).join(keys, "_k").drop("_k").distinct()
+    else:
+        near = wanted.crossJoin(titles)
+    near = near.withColumn("score", U.title_score_udf(F.col("_title"), F.col("title")))
     near = near.where(F.col("score") >= STRICT_TITLE) if strict else near
     found = stage(0, "_id", "id").unionByName(stage(1, "_doi", "_doi")).unionByName(stage(2, "_arxiv", "_arxiv")).unionByName(near.select("req", "id", F.lit(3).alias("stage"), "score"))
     best = found.groupBy("req").agg(F.min_by(F.struct("id", "stage", "score"), F.struct("stage", (-F.col("score")).alias("s"), F.col("id").alias("i"))).alias("b"))

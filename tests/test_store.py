@@ -80,3 +80,29 @@ def test_deep_search_and_sessions(spark):
     now[0] = 40
     third = held.new()
     assert set(held.held) == {third.session_id}
+
+
+def test_fuzzy_titles_meet_whatever_their_first_word_and_length(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    titles = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["x" * 62, "y" * 7, " Z "]
+    asked = []
+    for t in titles:
+        for _ in range(4):
+            letters = list(t)
+            for _ in range(rng.randrange(0, 1 + max(1, len(t) // 14))):
+                at = rng.randrange(len(letters))
+                letters[at : at + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+            asked.append("".join(letters).upper())
+    asked += ["x" * 63, "the " + titles[0], "q" + titles[1]]
+    papers = spark.createDataFrame([(str(n), None, None, t) for n, t in enumerate(titles)], "id string, doi string, arxiv_id string, title string")
+    requests = spark.createDataFrame([(n, None, None, None, t) for n, t in enumerate(asked)], "req int, id string, doi string, arxiv_id string, title string")
+    score = lambda a, b: round(SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio(), 3) if a and b else -1.0
+    best = {n: max((score(a, t), -int(m), m) for m, t in ((str(m), t) for m, t in enumerate(titles))) for n, a in enumerate(asked)}
+    for strict in (True, False):
+        got = {r["req"]: r["score"] for r in identity.resolve(requests, papers, strict).collect()}
+        want = {n: x[0] if asked[n] and (x[0] >= identity.STRICT_TITLE or not strict) else None for n, x in best.items()}
+        assert got == want
+    assert sum(v is not None and v < 1 for v in want.values()) > 50
