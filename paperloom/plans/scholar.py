@@ -234,4 +234,4 @@ def keyphrases_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("keyphrases_hash")
 def keyphrases_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
-    return kp.nonredundant(kp.hash_ranked(kp.candidates(docs, F.col("text"), limit=60), docs.select("doc_id", "text")))
+    return kp.nonredundant(kp.hash_ranked(kp.candidates(docs, F.col("text")), docs.select("doc_id", "text")))

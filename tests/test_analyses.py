@@ -143,6 +143,19 @@ def test_keyphrases_of_accented_texts(spark):
     assert scores.where("score < 1").count() == 0
 
 
+def test_hash_keyphrases_rank_all_candidates(spark, monkeypatch):
+    """A phrase past the 60 most frequent candidates of its document can be among the best."""
+    from paperloom.plans import scholar
+
+    docs = spark.createDataFrame([(1, ". ".join(f"zebra{n} yonder{n}" for n in range(40)) + ". aardvark")], "doc_id long, text string")
+    monkeypatch.setattr(scholar, "table", lambda *a: docs)
+    ranked = []
+    monkeypatch.setattr(scholar.kp, "hash_ranked", lambda found, texts: ranked.append(found) or found)
+    monkeypatch.setattr(scholar.kp, "nonredundant", lambda scored: scored)
+    scholar.keyphrases_hash(spark, "")
+    assert ranked[0].count() == 121 and ranked[0].where("term = 'aardvark'").count() == 1
+
+
 def test_communities_and_components(spark):
     edges = [("a", "b", 3), ("b", "c", 3), ("a", "c", 3), ("x", "y", 2), ("c", "x", 1)]
     group = graph.greedy_communities(edges)
