@@ -227,18 +227,18 @@ def coword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lda_topics")
 def lda_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=3, max_features=500)
+    found, _ = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), max_features=5000)
     return found.select("topic_id", "label", "doc_count", F.size("words").alias("n_words"))
 
 
 @register("kmeans_topics")
 def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=5)
+    return cluster.kmeans(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
 
 
 @register("representative_docs")
 def representative_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, documents = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), k=5, iterations=2, max_features=500)
+    _, documents = cluster.lda(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), max_features=5000)
     return cluster.representatives(documents)
 
 

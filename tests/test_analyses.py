@@ -156,6 +156,33 @@ def test_hash_keyphrases_rank_all_candidates(spark, monkeypatch):
     assert ranked[0].count() == 121 and ranked[0].where("term = 'aardvark'").count() == 1
 
 
+def test_topic_queries_are_not_cut(spark, monkeypatch):
+    """The reference's vocabulary, and the operators' own iterations and topic counts."""
+    import inspect
+
+    from paperloom.plans import collections
+
+    asked = {}
+
+    def seen(name):
+        def call(docs, **options):
+            bound = inspect.signature(originals[name]).bind(docs, **options)
+            bound.apply_defaults()
+            asked.setdefault(name, []).append(dict(bound.arguments))
+            raise StopIteration
+
+        return call
+
+    originals = {n: getattr(collections.cluster, n) for n in ("lda", "kmeans")}
+    for name in originals:
+        monkeypatch.setattr(collections.cluster, name, seen(name))
+    for query in ("lda_topics", "representative_docs", "kmeans_topics"):
+        with pytest.raises(StopIteration):
+            collections.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert [(x["max_features"], x["iterations"], x["k"]) for x in asked["lda"]] == [(5000, 10, None)] * 2
+    assert [(x["iterations"], x["k"]) for x in asked["kmeans"]] == [(20, None)]
+
+
 def test_communities_and_components(spark):
     edges = [("a", "b", 3), ("b", "c", 3), ("a", "c", 3), ("x", "y", 2), ("c", "x", 1)]
     group = graph.greedy_communities(edges)
