@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Edges that modularity is computed over at most; a larger graph gets its connected components.
@@ -62,43 +63,56 @@ def greedy_communities(edges: list[tuple[str, str, float]]) -> dict[str, int]:
 
 
 def communities(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """``term`` and ``cluster`` by greedy modularity. Tables of kept edges are small by their limit; a larger one is not
-    gathered into one task but gets the connected components instead."""
+    """``term``, ``cluster`` and ``method``: ``modularity`` (greedy), or ``components`` for a table of more than ``max_edges``
+    edges, which is not gathered into one task but gets its connected components."""
     if edges.limit(max_edges + 1).count() > max_edges:
         found = connected(edges)
         sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        return found.join(sizes, "component").select(F.col("node").alias("term"), F.dense_rank().over(_by_size()).alias("cluster"))
+        numbered = sizes.select("component", F.row_number().over(Window.orderBy(F.desc("n"), "component")).alias("cluster"))
+        return found.join(numbered, "component").select(F.col("node").alias("term"), "cluster", F.lit("components").alias("method"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         found = greedy_communities([(a, b, float(w)) for a, b, w in group[["source", "target", "weight"]].itertuples(index=False)])
         return pd.DataFrame(sorted(found.items()), columns=["term", "cluster"])
 
-    return edges.select("source", "target", "weight", F.lit(0).alias("all")).groupBy("all").applyInPandas(one, "term string, cluster int")
+    found = edges.select("source", "target", "weight", F.lit(0).alias("all")).groupBy("all").applyInPandas(one, "term string, cluster int")
+    return found.select("term", "cluster", F.lit("modularity").alias("method"))
 
 
-def _by_size():
-    from pyspark.sql import Window
+def star_forest(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame], drop: Callable[..., None] = lambda *_: None) -> DataFrame:
+    """Each node that has an edge (columns ``u``, ``v``) and the smallest node reachable from it: ``node``, ``component``.
 
-    return Window.orderBy(F.desc("n"), "component")
-
-
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node`` and ``component`` (the smallest name reachable): labels spread along edges and jump to their label's label.
-
-    Each round is checkpointed, so the plan stays short and lost executors cost one round.
+    Rounds alternate between two steps over edges that point from a larger node to a smaller one: every edge's smaller end
+    goes on to its own smallest neighbour, then each node's smaller neighbours are tied to the least of them. The graph is
+    settled when each node has one smaller neighbour that has none itself. Each round lowers an end of some edge, so the loop
+    ends by itself; paths, rings and random graphs take about as many rounds as their length has binary digits. Aggregations
+    combine before the shuffle and the joins are plain ones that adaptive execution may split, so a hub with a third of all
+    edges does not land in one task. ``write`` makes a table that cuts lineage; nothing goes to the driver but counts.
     """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(most_rounds):
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        new = labels.join(around, labels["node"] == around["a"]).select("node", F.col("component").alias("old"), F.least("component", "least").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("further"))
-        new = new.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("further", "mid")).alias("component")).checkpoint()
-        if not new.where("old <> component").limit(1).count():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-    raise RuntimeError("components did not settle")
+    now = write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    while True:
+        least = write(now.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        above = least.select(F.col("u").alias("v"), F.col("m").alias("up"))
+        raised = write(now.join(above, "v", "left").select("u", F.coalesce("up", "v").alias("v"), F.col("up").isNotNull().alias("moved")), "raised")
+        if not least.where("n > 1").limit(1).count() and not raised.where("moved").limit(1).count():
+            break
+        lower = write(raised.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        tied = raised.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        following = write(tied.distinct(), "edges")
+        drop(now, least, raised, lower)
+        now = following
+    drop(least, raised)
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (the smallest name reachable). Each step is checkpointed, so lost executors cost one step;
+    a node that has an edge to itself alone is its own component."""
+    pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+    found = star_forest(pairs, lambda df, _: df.checkpoint())
+    alone = pairs.where("u = v").select(F.col("u").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def connected_sql() -> str:

@@ -190,6 +190,12 @@ def test_communities_and_components(spark):
     assert graph.modularity(edges, group) >= graph.modularity(edges, dict.fromkeys(group, 1))
     df = spark.createDataFrame([("a", "b", 1), ("c", "b", 1), ("x", "y", 1)], "source string, target string, weight int")
     assert rows(graph.connected(df), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+    # A path whose names fall from its far end to its least one, a loop, and one of two nodes.
+    path = [("n000", "n070"), *((f"n{n:03}", f"n{n - 1:03}") for n in range(70, 1, -1)), ("z", "z"), ("zz", "zz"), ("zz", "zy")]
+    found = rows(graph.connected(spark.createDataFrame(path, "source string, target string")), "node", "component")
+    assert found == [*((f"n{n:03}", "n000") for n in range(71)), ("z", "z"), ("zy", "zy"), ("zz", "zy")]
+    large = graph.communities(df, max_edges=2)
+    assert rows(large, "term", "cluster", "method") == [(n, c, "components") for n, c in (("a", 1), ("b", 1), ("c", 1), ("x", 2), ("y", 2))]
 
 
 def test_search(t, works):
