@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import paperloom
+from paperloom.operators.graph import star_forest
 from paperloom.session import table
 
 __all__ = ["Workspace", "arrow_map", "checkpoint_dir", "components", "flag_possible", "possibly_in", "table", "text_bytes"]
@@ -102,49 +103,10 @@ def _array(values: object, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-def components(space: Workspace, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest id reachable from each node that has an edge: columns ``node``, ``component``.
-
-    ``edges`` has bigint columns ``u`` and ``v`` with ``u > v`` (others are turned or dropped). Each round sends a node's
-    larger neighbours on to its smallest one until every node has a single parent; then parents are doubled up to the root.
-    Aggregations combine before the shuffle and the joins are plain ones that adaptive execution may split, so a hub with a
-    third of all edges does not land in one task. Nothing goes to the driver but counts.
-    """
-    now = space.write(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges"
-    )
-    for _ in range(most_rounds):
-        least = space.write(now.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        if not least.where("n > 1").limit(1).count():
-            break
-        joined = now.join(least.select("u", "m"), "u")
-        moved = joined.select(
-            F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")
-        ).select("e.u", "e.v")
-        following = space.write(moved.distinct(), "edges")
-        space.drop(now, least)
-        now = following
-    else:
-        raise RuntimeError("components did not settle")
-    parents = space.write(least.select(F.col("u").alias("node"), F.col("m").alias("parent")), "parents")
-    space.drop(now, least)
-    for _ in range(most_rounds):
-        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        raised = space.write(
-            parents.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "parents"
-        )
-        space.drop(parents)
-        parents = raised
-        if not parents.where("moved").limit(1).count():
-            break
-        parents_next = parents.select("node", "parent")
-        parents_next._paperloom_path = parents._paperloom_path
-        parents = parents_next
-    else:
-        raise RuntimeError("components did not settle")
-    roots = parents.select("node", F.col("parent").alias("component"))
-    # Roots have no parent row of their own.
-    return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
+def components(space: Workspace, edges: DataFrame) -> DataFrame:
+    """Smallest id reachable from each node that has an edge to another (bigint columns ``u``, ``v``): columns ``node``,
+    ``component``. Every round is written to the shared folder; the loop ends when nothing is left to move."""
+    return star_forest(edges, space.write, space.drop)
 
 
 def flag_possible(df: DataFrame, column: str, keys: DataFrame, key: str, flag: str, most_blocks: int = 1 << 17) -> DataFrame:

@@ -42,6 +42,21 @@ def test_threshold_is_exact(spark):
     assert got == {i: n for i, (n, *_) in brute(rows).items()}
 
 
+def test_a_chain_of_vectors(spark):
+    """Each within reach of the next alone; the least id stands at one end, the others fall towards it."""
+    vectors, last = [], np.zeros(70)
+    last[0] = 1.0
+    for n in range(70):
+        vectors.append(last.tolist())
+        last = last * 0.909
+        last[(n + 1) % 70] += np.sqrt(1 - 0.909**2)
+        last /= np.linalg.norm(last)
+    rows = list(zip([0, *range(69, 0, -1)], vectors, strict=True))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(df).collect()}
+    assert got == brute(rows) and {c for _, c, _ in got.values()} == {0}
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["kept"]) for r in E.near_duplicates(df).collect()}
