@@ -4,19 +4,25 @@ Base spans are the leftmost matches of four patterns with their checks. The fiel
 digit or an at sign (all others can only be clean). Neighbouring tokens share chain potentials; tokens of a document that
 are the same or have the same shape share skip potentials with their next occurrence, however distant. Base tokens are
 evidence; loopy belief propagation carries their labels along both kinds of edges, so that one entity is labelled alike
-throughout a document. Tokens whose marginal reaches ``SURE`` become further spans; base spans always stay.
+throughout a document. Runs of tokens whose marginal reaches ``SURE`` become further spans, cut to what their kind can be: a
+card's digits must pass Luhn, an ip's parts be at most 255, a phone number have 9 to 15 digits. Base spans always stay.
 
-The weights are trained by pseudo-likelihood on the base labels of at most ``SAMPLE`` documents (drawn by a hash of the
-id, of at most ``SAMPLE_CHARS`` characters); tokens inside matches that fail a check count as unknown there.
+The weights are trained by pseudo-likelihood on the base labels of the ``SAMPLE`` documents of least hash (of id and text)
+among a share of those that hold a digit or an at sign and have at most ``SAMPLE_CHARS`` characters, so they don't depend on
+how rows are dealt. Matches that a check refused are clean there, unless a number that would pass lies inside them: those
+tokens count as unknown.
 
 Nulls and empty texts have no spans. Each row is judged by itself and whole; repeated rows and null ids come back as they
-are; extra columns are ignored. All scans are linear in the text. Offsets count code points.
+are; extra columns are ignored. Work grows in proportion to the text, and memory with the tokens that hold a digit or an at
+sign (a few hundred bytes each, in flat arrays). Offsets count code points.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +46,12 @@ _DIGIT = re.compile(r"[0-9]").search
 _MARK = re.compile(r"[0-9@]\S*")
 _SPACE = re.compile(r"\s")
 _PUNCTUATION = ".,;:!?()[]{}<>\"'|"
+_MAILBOX = re.compile(r"[^\s@<>()\[\]{},;:\"'|]+@[^\s@<>()\[\]{},;:\"'|]*[^\W_]").finditer
+_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])").finditer
+_DIALLED = re.compile(r"(?:\+|\(\+?)?[0-9][\x20().0-9-]*[0-9]").finditer
+_GROUPS = re.compile(r"[0-9]+").finditer
+#: Edges whose messages are made at once.
+EDGES = 1 << 13
 
 
 def luhn(digits: str) -> bool:
@@ -50,8 +62,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Spans (start, kind's number, end) in order, and the ranges of matches that failed a check."""
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Spans (start, kind's number, end) in order, and likewise the matches that failed a check."""
     found, failed = [], []
     at, last = text.find("@"), 0
     while at != -1:
@@ -72,23 +84,80 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
                     if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
                         found.append((m.start(), 1, m.end()))
                     else:
-                        failed.append(m.span())
+                        failed.append((m.start(), 1, m.end()))
     for m in _CARD(text):
         if m.end() - m.start() >= 12:
             digits = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
                 found.append((m.start(), 2, m.end()))
             else:
-                failed.append(m.span())
+                failed.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in _PHONE(text):
             if 9 <= sum(map(str.isdigit, m.group())) <= 15:
                 found.append((m.start(), 3, m.end()))
             else:
-                failed.append(m.span())
+                failed.append((m.start(), 3, m.end()))
     return sorted(found), failed
 
 
+def cards_within(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole groups of digits, one space or hyphen apart, with 12 to 19 digits that pass Luhn: leftmost, then longest."""
+    groups = [m.span() for m in _GROUPS(text, start, end)]
+    i = 0
+    while i < len(groups):
+        digits, best = "", -1
+        for j in range(i, min(len(groups), i + 19)):
+            if j > i and (groups[j][0] - groups[j - 1][1] != 1 or text[groups[j][0] - 1] not in " -"):
+                break
+            if len(digits) + groups[j][1] - groups[j][0] > 19:
+                break
+            digits += text[groups[j][0] : groups[j][1]]
+            if len(digits) >= 12 and luhn(digits):
+                best = j
+        if best >= 0:
+            yield groups[i][0], groups[best][1]
+            i = best
+        i += 1
+
+
+def refine(text: str, kind: int, start: int, end: int) -> list[tuple[int, int]]:
+    """What in a run of tokens that the field gives to a kind can be of that kind."""
+    if kind == 0:
+        return [m.span() for m in _MAILBOX(text, start, end)]
+    if kind == 1:
+        return [m.span() for m in _QUAD(text, start, end) if all(int(p) <= 255 for p in m.group().split("."))]
+    if kind == 2:
+        return list(cards_within(text, start, end))
+    out = []
+    for m in _DIALLED(text, start, end):
+        digits, stop = 0, -1
+        for g in _GROUPS(text, m.start(), m.end()):
+            digits += g.end() - g.start()
+            if digits > 15:
+                break
+            if digits >= 9:
+                stop = g.end()
+        if stop >= 0:
+            out.append((m.start(), stop))
+    return out
+
+
+class Cover:
+    """Whether a range meets one of many spans, by one search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts, self.ends, most = [], [], 0
+        for start, _, end in spans:  # in order of their starts
+            most = max(most, end)
+            self.starts.append(start)
+            self.ends.append(most)
+
+    def meets(self, start: int, end: int) -> bool:
+        n = bisect_left(self.starts, end)
+        return n > 0 and self.ends[n - 1] > start
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Ranges of the tokens between white space that hold a digit or an at sign."""
     out, last = [], 0
@@ -113,44 +182,53 @@ def _word(text: str, start: int, step: int) -> str:
 
 
 class Graph:
-    """Candidate tokens of many documents with their chain and skip edges."""
+    """Candidate tokens of many documents with their chain and skip edges, in flat arrays."""
 
     def __init__(self) -> None:
-        self.features: list[list[int]] = []
-        self.label: list[int] = []  # 0 clean, 1 to 4 the kinds, -1 unknown
-        self.where: list[tuple[int, int, int]] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-
-    def add(self, number: int, text: str, spans: list[tuple[int, int, int]], failed: list[tuple[int, int]], train: bool) -> None:
-        last_of: dict[str, int] = {}
-        before, before_end, k = -1, -2, 0
-        bad = sorted(failed)
-        b = 0
+        self.features = array("i")
+        self.label = array("b")  # 0 clean, 1 to 4 the kinds, -1 unknown
+        self.where = array("q")  # number of the document, start, end
+        # Pairs of tokens: neighbours; a token and the next that is the same; a token and the next of the same shape. In each
+        # of the three a token has one edge to an earlier token at most, and one to a later.
+        self.chain = array("i")
+        self.skip = array("i")
+        self.alike = array("i")
+
+    def add(self, number: int, text: str, spans: list[tuple[int, int, int]], failed: list[tuple[int, int, int]], train: bool) -> None:
         tokens = candidates(text)
+        starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
+        labels = array("b", [0 if train else -1]) * len(tokens)
+
+        def mark(ranges: list[tuple[int, int, int]], label: int | None) -> None:
+            for a, kind, b in ranges:
+                i = bisect_right(ends, a)
+                while i < len(tokens) and starts[i] < b:
+                    if labels[i] <= 0:
+                        labels[i] = kind + 1 if label is None else label
+                    i += 1
+
+        if train:
+            mark([x for x in failed if x[1] == 3 and sum(map(str.isdigit, text[x[0] : x[2]])) > 15 or x[1] == 2 and any(cards_within(text, x[0], x[2]))], -1)
+        mark(spans, None)
+        last_of: dict[str, int] = {}
+        before, before_end, before_shape = -1, -2, ""
         shapes = [shape(text[s:e]) for s, e in tokens]
         for n, (s, e) in enumerate(tokens):
             token, own = text[s:e], len(self.label)
-            while k < len(spans) and spans[k][2] <= s:
-                k += 1
-            over = next((x for x in spans[k : k + 8] if x[0] < e and x[2] > s), None)
-            while b < len(bad) and bad[b][1] <= s:
-                b += 1
-            unsure = over is None and b < len(bad) and bad[b][0] < e
-            self.label.append(over[1] + 1 if over else -1 if unsure or not train else 0)
-            self.where.append((number, s, e))
+            self.label.append(labels[n])
+            self.where.extend((number, s, e))
             near = s - before_end == 1 and before >= 0
             core = token.strip(_PUNCTUATION)
             names = [f"s{shapes[n]}", f"c{shape(core)}", f"d{min(20, sum(map(str.isdigit, token)))}", f"@{'@' in token}", f".{token.count('.')}", f"+{token[:1]}", f"l{len(token) // 4}",
-                     f"p{shapes[n - 1] if near else _word(text, s, -1)}", f"n{shapes[n + 1] if n + 1 < len(tokens) and tokens[n + 1][0] - e == 1 else ''}"]
-            self.features.append([zlib.crc32(f.encode()) % WEIGHTS for f in names])
+                     f"p{before_shape if near else _word(text, s, -1)}", f"n{shapes[n + 1] if n + 1 < len(tokens) and tokens[n + 1][0] - e == 1 else ''}"]
+            self.features.extend(zlib.crc32(f.encode()) % WEIGHTS for f in names)
             if near:
-                self.chain.append((before, own))
-            for key in {f"={core.lower()}", f"~{shape(core)}"}:
+                self.chain.extend((before, own))
+            for key, edges in ((f"={core.lower()}", self.skip), (f"~{shape(core)}", self.alike)):
                 if key in last_of:
-                    self.skip.append((last_of[key], own))
+                    edges.extend((last_of[key], own))
                 last_of[key] = own
-            before, before_end = own, e
+            before, before_end, before_shape = own, e, shapes[n]
 
 
 class Model:
@@ -160,7 +238,11 @@ class Model:
         self.skip = np.eye(n)  # the prior: repeated tokens are labelled alike
 
     def emission(self, graph: Graph) -> np.ndarray:
-        return self.weights[np.array(graph.features, np.int64).reshape(len(graph.label), -1)].sum(1)
+        features = np.array(graph.features, np.int32).reshape(len(graph.label), -1)
+        out = np.zeros((len(features), self.weights.shape[1]))
+        for column in features.T:
+            out += self.weights[column]
+        return out
 
     def fit(self, graph: Graph, steps: int = 200) -> "Model":
         """Pseudo-likelihood: each token given its features and the labels around it."""
@@ -168,8 +250,9 @@ class Model:
         if not len(y):
             return self
         n = len(KINDS) + 1
-        features = np.array(graph.features, np.int64)
-        chain, skip = (np.array(x, np.int64).reshape(-1, 2) for x in (graph.chain, graph.skip))
+        features = np.array(graph.features, np.int64).reshape(len(y), -1)
+        chain, skip, alike = (np.array(x, np.int64).reshape(-1, 2) for x in (graph.chain, graph.skip, graph.alike))
+        skip = np.concatenate([skip, alike])
         chain, skip = (x[(y[x] >= 0).all(1)] for x in (chain, skip))
         known = np.flatnonzero(y >= 0)
         one = np.eye(n)[np.maximum(y, 0)]
@@ -203,54 +286,65 @@ class Model:
         fixed = np.flatnonzero(y > 0)
         unary[fixed] = -60.0
         unary[fixed, y[fixed]] = 0.0
-        chain, skip = (np.array(x, np.int64).reshape(-1, 2) for x in (graph.chain, graph.skip))
-        edges = np.concatenate([chain, skip])
-        pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        factor = np.exp(np.concatenate([pair, pair.transpose(0, 2, 1)]))
-        message = np.zeros((len(source), n))
-        reverse = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        unary = unary.T.astype(np.float32)
+        # Both directions along each family of edges: sources, targets, factor, messages (a column for each edge).
+        families = []
+        for edges, factor in ((graph.chain, self.chain), (graph.skip, self.skip), (graph.alike, self.skip)):
+            pairs = np.array(edges, np.int32).reshape(-1, 2)
+            there, back = pairs[:, 0].copy(), pairs[:, 1].copy()
+            grown = np.exp(factor).astype(np.float32)
+            families.append([(there, back, grown.T, np.zeros((n, len(pairs)), np.float32)), (back, there, grown, np.zeros((n, len(pairs)), np.float32))])
         for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[reverse]
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("ej,ejk->ek", out, factor) + 1e-300)
-            new -= new.max(1, keepdims=True)
-            if len(new) and np.abs(new - message).max() < 1e-3:
+            belief, moved = self._belief(unary, families), 0.0
+            for ways in families:
+                for at in range(0, len(ways[0][0]), EDGES):
+                    part = slice(at, at + EDGES)
+                    old = [way[3][:, part].copy() for way in ways]
+                    for (source, _, factor, message), own, other in zip(ways, old, old[::-1], strict=True):
+                        out = belief[:, source[part]] - other
+                        np.exp(out - out.max(0), out=out)
+                        new = np.log(factor @ out + np.float32(1e-30))
+                        new -= new.max(0)
+                        moved = max(moved, float(np.abs(new - own).max()))
+                        message[:, part] = 0.5 * own + 0.5 * new
+            if moved < 1e-3:
                 break
-            message = 0.5 * message + 0.5 * new
-        belief = unary
-        np.add.at(belief, target, message)
-        p = np.exp(belief - belief.max(1, keepdims=True))
+        belief = self._belief(unary, families).T.astype(float)
+        p = np.exp(belief - belief.max(1, keepdims=True)) if size else belief
         return p / p.sum(1, keepdims=True) if size else p
 
+    @staticmethod
+    def _belief(unary: np.ndarray, families: list) -> np.ndarray:
+        belief = unary.copy()
+        for ways in families:
+            for _, target, _, message in ways:
+                belief[:, target] += message  # a token is the target of one edge of a family in one direction at most
+        return belief
+
 
 def find(model: Model, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and all spans, as (start, kind's number, end)."""
     out: list = []
     graph = Graph()
-    waiting: list[tuple[int, str]] = []
+    waiting: dict[int, tuple[str, Cover]] = {}
 
     def settle() -> None:
         nonlocal graph
         p = model.marginals(graph)
         best = p[:, 1:].argmax(1) + 1
         sure = (np.array(graph.label) <= 0) & (p[np.arange(len(p)), best] >= SURE)
-        texts_of = dict(waiting)
+        where = np.array(graph.where).reshape(-1, 3)
+        runs: list[list[int]] = []
         for i in np.flatnonzero(sure).tolist():
-            number, s, e = graph.where[i]
-            text, spans = texts_of[number], out[number][1]
+            number, s, e = where[i].tolist()
             kind = int(best[i]) - 1
-            while s < e and text[s] in _PUNCTUATION and not (kind == 3 and text[s] == "("):
-                s += 1
-            while e > s and text[e - 1] in _PUNCTUATION and not (kind == 3 and text[e - 1] == ")"):
-                e -= 1
-            if s < e and not any(x[0] < e and x[2] > s for x in out[number][0]):
-                if kind == 3 and spans and spans[-1][1] == 3 and spans[-1][2] == s - 1 and spans[-1] not in out[number][0]:
-                    spans[-1] = (spans[-1][0], 3, e)  # the parts of one number
-                else:
-                    spans.append((s, kind, e))
+            if runs and runs[-1][:2] == [number, kind] and runs[-1][3] == s - 1:
+                runs[-1][3] = e  # the parts of one number
+            else:
+                runs.append([number, kind, s, e])
+        for number, kind, s, e in runs:
+            text, cover = waiting[number]
+            out[number][1].extend((a, kind, b) for a, b in refine(text, kind, s, e) if not cover.meets(a, b))
         graph = Graph()
         waiting.clear()
 
@@ -258,10 +352,10 @@ def find(model: Model, texts: list[str]) -> list[tuple[list[tuple[int, int, int]
         spans, failed = base_spans(text)
         out.append((spans, list(spans)))
         if _DIGIT(text) or "@" in text:
-            own = candidates(text)
-            if any(not any(x[0] < e and x[2] > s for x in spans) for s, e in own) if len(spans) < 50 else True:
+            cover = Cover(spans)
+            if not all(cover.meets(s, e) for s, e in candidates(text)):
                 graph.add(number, text, spans, failed, False)
-                waiting.append((number, text))
+                waiting[number] = text, cover
         if len(graph.label) >= GROUP:
             settle()
     if waiting:
@@ -275,10 +369,15 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A share of the ids, by hash, so that no task has to hand its own best rows to the driver; few texts hold candidates.
     share = min(1.0, 20 * most / max(1, documents.count()))
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = drawn.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).limit(most)
+    fit = drawn.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).withColumn("t", F.xxhash64("text"))
+    # Only hashes are put in order; the texts up to the last of them are the sample, repeated rows once.
+    last = fit.select("h", "t").distinct().orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("last")).first()["last"]
     graph = Graph()
-    for n, row in enumerate(chosen.collect()):
-        graph.add(n, row["text"], *base_spans(row["text"]), True)
+    if last is not None:
+        chosen = fit.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"]))
+        texts = {(r["h"], r["t"]): r["text"] for r in chosen.dropDuplicates(["h", "t"]).collect()}
+        for n, key in enumerate(sorted(texts)):
+            graph.add(n, texts[key], *base_spans(texts[key]), True)
     return Model().fit(graph)
 
 

@@ -75,6 +75,63 @@ def test_repeated_tokens_are_labelled_alike():
     assert p[1, 2] > 0.9 and p[2, 2] < 0.3
 
 
+def trained(rng, n=300):
+    number = lambda: f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"
+    graph = P.Graph()
+    for i in range(n):
+        refused = f"{rng.integers(10**15, 10**16)}"
+        text = f"word call {number()} again, order {refused} of year {rng.integers(10, 99)}; card {card(rng)} or me{i}@mail.org it was"
+        graph.add(i, text, *P.base_spans(text), True)
+    return P.Model().fit(graph)
+
+
+def card(rng):
+    digits = f"{rng.integers(10**14, 10**15)}"
+    return next(digits + str(d) for d in range(10) if P.luhn(digits + str(d)))
+
+
+def test_added_spans_can_be_of_their_kind():
+    """Numbers that fail Luhn are never added; trailing signs are cut; valid numbers beside others are mostly found."""
+    rng = np.random.default_rng(4)
+    model = trained(rng)
+    added, hidden, found = 0, 0, 0
+    for _ in range(200):
+        own = card(rng)
+        refused = str(int(own) ^ 1) if not P.luhn(str(int(own) ^ 1)) else str(int(own) + 3)
+        text = f"call +1 (269) 555-{rng.integers(1000, 9999)} {own} now, order {refused} and paid 12 $$$ to x"
+        base, spans = P.find(model, [text])[0]
+        extra = [x for x in spans if x not in base]
+        added += len(extra)
+        for s, k, e in extra:
+            digits = "".join(c for c in text[s:e] if c.isdigit())
+            assert text[e - 1].isalnum() and (k != 2 or P.luhn(digits)) and (k != 3 or 9 <= len(digits) <= 15), text[s:e]
+            assert refused not in text[s:e]
+        hidden += 2
+        found += any(text[s:e] == own for s, _, e in spans) + any(k == 3 and text[s:e].startswith("+1") for s, k, e in spans)
+    assert added and found >= 0.5 * hidden
+
+
+def test_work_grows_with_the_text():
+    import time
+
+    rng = np.random.default_rng(6)
+    model = trained(rng, 30)
+    line = "call +1 (269) 555-3296 4111111111111111 now 12 1.2.3.4 order 77 a@b.c 9 9 "
+    seconds = []
+    for n in (2000, 16_000):
+        start = time.process_time()
+        base, spans = P.find(model, [line * n])[0]
+        seconds.append(time.process_time() - start)
+        assert len(base) >= 2 * n and len(spans) >= len(base)
+    assert seconds[1] < 24 * seconds[0]
+
+
+def test_training_does_not_depend_on_how_rows_are_dealt(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, other = (P.train(d, most=30) for d in (docs.repartition(7), docs.unionByName(docs).repartition(3, "text")))
+    assert (one.weights == other.weights).all() and (one.skip == other.skip).all() and one.weights.any()
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.c now", 14), (2, None, 0)], "doc_id long, text string, n_chars int")
     got = {r["doc_id"]: r["text"] for r in P.find_pii(docs, keep=docs.columns, redact=True).collect()}
