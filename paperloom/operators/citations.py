@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
@@ -51,6 +53,11 @@ def co_citation(t: Tables, min_count: int = 2, top: int | None = None, keep_miss
     return rows.orderBy(F.desc("co_citation_count"), "ref_id").limit(top) if top else rows
 
 
+def collection(t: Tables, wanted: Column) -> Tables:
+    """The tables with the references of the works that a condition on works holds for."""
+    return replace(t, refs=t.refs.join(t.works.where(wanted).select("work_id"), "work_id", "left_semi"))
+
+
 def missing_band(rows: DataFrame, known: DataFrame) -> DataFrame:
     """References outside the collection worth fetching: counts from a threshold set by the backlog up to six more (at most 16)."""
     missing = rows.join(known.select(F.col("work_id").alias("ref_id")), "ref_id", "left_anti")

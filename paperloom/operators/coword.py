@@ -38,11 +38,24 @@ def allowed_terms(counts: DataFrame, min_count: int = 2) -> DataFrame:
     return counts.where((F.col("count") >= min_count) & (F.length("term") > 1))
 
 
-def edges(terms: DataFrame, allowed: DataFrame, top: int = 300, min_weight: int = 1) -> DataFrame:
-    """Pairs of allowed terms that share documents. Terms are filtered before pairing, which is quadratic in a document."""
+def _weights(terms: DataFrame, allowed: DataFrame) -> DataFrame:
     kept = terms.join(allowed.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     made = kept.select(F.explode(T.pairs(F.col("terms"))).alias("p")).select("p.source", "p.target")
-    return made.groupBy("source", "target").agg(count().alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
+    return made.groupBy("source", "target").agg(count().alias("weight"))
+
+
+def edges(terms: DataFrame, allowed: DataFrame, top: int = 300, min_weight: int = 1, first: int = 200) -> DataFrame:
+    """The ``top`` heaviest pairs of ``allowed`` terms (term, doc_count) that share documents.
+
+    Pairing is quadratic in a document's terms, so it is done for terms that can matter: a pair weighs no more than either
+    term has documents. The pairs of the ``first`` commonest terms give a weight that ``top`` pairs reach; every term with as
+    many documents is then paired, and no pair of any other term could be among the ``top``.
+    """
+    best = lambda pairs: pairs.where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
+    common = best(_weights(terms, allowed.orderBy(F.desc("doc_count"), "term").limit(first)))
+    reached = common.agg(F.when(count() == top, F.min("weight")).otherwise(F.lit(min_weight)).alias("reached"))  # one row
+    able = allowed.crossJoin(F.broadcast(reached)).where("doc_count >= reached")
+    return best(_weights(terms, able))
 
 
 def degrees(kept_edges: DataFrame) -> DataFrame:

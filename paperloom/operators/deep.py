@@ -60,10 +60,11 @@ def _arrivals(works: DataFrame, source: str, round_: int, keywords: str | None =
 
 def _merge(session: Session, arrivals: DataFrame) -> dict:
     before = session.rows.count() if session.rows is not None else 0
-    scores = session.rows.select("store_id", "llm_score", "is_seed") if session.rows is not None else None
-    merged = store.upsert(session.rows, arrivals)
-    merged = merged.join(scores, "store_id", "left") if scores is not None else merged.withColumns({"llm_score": F.lit(None).cast("double"), "is_seed": F.lit(False)})
-    session.rows = merged.withColumn("is_seed", F.coalesce("is_seed", F.lit(False))).checkpoint()
+    fresh = {"llm_score": F.lit(None).cast("double"), "is_evaluated": F.lit(False), "is_seed": F.lit(False), "tags": F.array().cast("array<string>")}
+    notes = session.rows.select("store_id", *fresh) if session.rows is not None else None
+    merged = store.upsert(session.rows.drop(*fresh) if notes is not None else None, arrivals)
+    merged = merged.join(notes, "store_id", "left").withColumns({c: F.coalesce(c, new) for c, new in fresh.items()}) if notes is not None else merged.withColumns(fresh)
+    session.rows = merged.checkpoint()
     total = session.rows.count()
     return {"added": total - before, "total": total}
 
@@ -81,9 +82,11 @@ def search_papers(session: Session, t: Tables, keywords: str, limit: int = 100,
 
 
 def judge(session: Session, scores: DataFrame) -> dict:
-    """Write supplied scores (``store_id, score``); a missing score of a judged paper counts as 0."""
-    session.rows = store.set_scores(session.rows, scores.withColumn("score", F.coalesce("score", F.lit(0.0))), "llm_score").checkpoint()
-    judged = session.rows.where("llm_score is not null")
+    """Write supplied scores (``store_id, score``) and mark their papers as evaluated; a missing score counts as 0."""
+    given = scores.select("store_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).groupBy("store_id").agg(F.max("score").alias("score"))
+    rows = store.set_scores(session.rows, given, "llm_score").join(given.select("store_id", F.lit(True).alias("_judged")), "store_id", "left")
+    session.rows = rows.withColumn("is_evaluated", F.col("is_evaluated") | F.coalesce("_judged", F.lit(False))).drop("_judged").checkpoint()
+    judged = session.rows.where("is_evaluated")
     return {"evaluated": judged.count(), "success": judged.where(F.col("llm_score") >= SUCCESS).count()}
 
 
@@ -103,10 +106,17 @@ def expand(session: Session, t: Tables, direction: str = "references", per_work:
 
 
 def mark_seeds(session: Session, ids: DataFrame) -> int:
-    session.rows = store.add_tags(session.rows.withColumn("tags", F.array().cast("array<string>")), ids, ["seed"], seed=True).drop("tags").checkpoint()
+    session.rows = store.add_tags(session.rows, ids, ["seed"], seed=True).checkpoint()
     return session.rows.where("is_seed").count()
 
 
+def stats(session: Session) -> DataFrame:
+    """The store's figures; a session that has not searched has no store yet."""
+    if session.rows is None:
+        raise ValueError("the session's store is empty: search first")
+    return store.stats(session.rows, session.round)
+
+
 def rank(session: Session, t: Tables, current_year: int, weights: dict[str, float] | None = None, top: int = 50) -> DataFrame:
     """Importance with the in-domain score, which the others make room for."""
     inside = citations.in_domain(t).select(F.col("work_id").cast("string").alias("store_id"), "in_domain_citation_score")

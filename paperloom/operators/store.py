@@ -44,7 +44,7 @@ def upsert(store: DataFrame | None, arrivals: DataFrame) -> DataFrame:
     if store is not None:
         fresh = store.select("store_id", F.lit(-1).cast("bigint").alias("seq"), "openalex_id", *CARRIED, "history").unionByName(fresh)
     first = F.struct("seq", *CARRIED)
-    merged = fresh.groupBy("store_id").agg(F.min_by(first, "seq").alias("a"), F.min_by("openalex_id", F.when(F.col("openalex_id").isNotNull(), F.col("seq"))).alias("openalex_id"), F.array_sort(F.flatten(F.collect_list("history"))).alias("history"))
+    merged = fresh.groupBy("store_id").agg(F.min(first).alias("a"), F.min(F.when(F.col("openalex_id").isNotNull(), F.struct("seq", "openalex_id")))["openalex_id"].alias("openalex_id"), F.array_sort(F.flatten(F.collect_list("history"))).alias("history"))
     return merged.select("store_id", "openalex_id", *[F.col(f"a.{c}").alias(c) for c in CARRIED], "history")
 
 
@@ -190,6 +190,8 @@ def stats(store: DataFrame, current_round: int = 0) -> DataFrame:
     first = F.get(F.col("history"), 0)["source"]
     words = store.select(F.explode(F.transform("history", lambda x: x["keywords"])).alias("k")).where("k is not null").agg(F.count_distinct("k").alias("keywords_used"))
     row = store.agg(count().alias("total_papers"), F.count_if(first == "search").alias("search_papers"), F.count_if(first == "citation").alias("citation_papers"), F.avg("citation_count").alias("avg_citation_count"))
+    if "is_evaluated" in store.columns:
+        words = words.crossJoin(F.broadcast(store.agg(F.count_if("is_evaluated").alias("evaluated_count"))))
     return row.crossJoin(F.broadcast(words)).withColumn("current_round", F.lit(current_round))  # one row each
 
 

@@ -204,8 +204,11 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fuzzy_title")
 def fuzzy_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every part whose key is divisible by 100, in capitals, without its first letter, or with a mark behind it."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("title"))
-    asked = p.where(F.col("id").cast("bigint") % 50 == 0).select(F.col("id").alias("req"), F.lit(None).cast("string").alias("id"), "doi", "arxiv_id", F.upper("title").alias("title"))
+    number = F.col("id").cast("bigint")
+    typed = F.when(number % 300 == 0, F.upper("title")).when(number % 300 == 100, F.expr("substring(title, 2)")).otherwise(F.concat("title", F.lit(" .")))
+    asked = p.where(number % 100 == 0).select(F.col("id").alias("req"), F.lit(None).cast("string").alias("id"), "doi", "arxiv_id", typed.alias("title"))
     return identity.resolve(asked, p)
 
 

@@ -42,7 +42,7 @@ class Tool:
     required: tuple[str, ...] = ()
 
     def schema(self) -> dict:
-        types = {int: "integer", float: "number", str: "string", bool: "boolean", tuple: "array"}
+        types = {int: "integer", float: "number", str: "string", bool: "boolean", tuple: "array", dict: "object"}
         fields = {n: {k: v for k, v in (("type", types[b.kind]), ("default", b.default), ("minimum", b.low), ("maximum", b.high), ("enum", list(b.choices) or None)) if v is not None} for n, b in self.parameters.items()}
         return {"type": "object", "properties": fields, "required": list(self.required), "additionalProperties": False}
 
@@ -68,7 +68,7 @@ def _coword(t: Tables, top: int, min_count: int, top_edges: int, ngram_max: int)
     docs = embed.work_texts(t).select(F.col("work_id").alias("doc_id"), "text", "year")
     terms = coword.documents_terms(docs, F.col("text"), (1, ngram_max))
     counts = coword.allowed_terms(coword.term_counts(terms), min_count)
-    kept = coword.edges(terms, counts.orderBy(F.desc("count"), "term").limit(max(top, 200)), top_edges)
+    kept = coword.edges(terms, counts, top_edges)
     members = graph.communities(kept)
     return {"terms": coword.term_table(counts, kept, top), "edges": kept, "clusters": coword.clusters(members, counts, kept), "dropped": coword.dropped_terms(terms)}
 
@@ -102,10 +102,8 @@ _add("citations.citations", "What cites a work", lambda t, work_id, limit: citat
 _add("citations.lookup", "Both directions of a work", lambda t, work_id, limit: {"references": TOOLS["citations.references"].run(t, {"work_id": work_id, "limit": limit}), "citations": TOOLS["citations.citations"].run(t, {"work_id": work_id, "limit": limit})}, {"work_id": Bound(str), "limit": Bound(int, 1000, 1, 1000)}, ("work_id",))
 _add("dataset.info", "Size of the collection", lambda t: {"records": t.works.count(), "columns": t.works.columns})
 _add("ds.citations.co_cite", "References that several works share", lambda t, min_count: citations.co_citation(t, min_count, keep_missing=False), {"min_count": Bound(int, 2, 1, 1000)})
-_add("ds.citations.fetch_refs", "References of given works", lambda t, limit: citations.references_of(t, t.works, limit), {"limit": Bound(int, 50, 1, 1000)})
-_add("ds.citations.fetch_forward", "Citations of given works", lambda t, min_citations, limit: citations.citations_of(t, t.works, None, min_citations, limit), {"min_citations": Bound(int, 0, 0), "limit": Bound(int, 100, 1, 1000)})
 _add("ds.store.seeds.candidates", "Works the collection cites most for their fame", lambda t, top, min_in_domain: citations.seed_candidates(t, top, min_in_domain), {"top": Bound(int, 10, 1, 200), "min_in_domain": Bound(int, 2, 1, 1000)})
-_add("ds.store.stats", "How much stays inside", citations.network_stats)
+_add("citations.network_stats", "How much stays inside", citations.network_stats)
 _add("ds.store.rank", "Works by importance", lambda t, current_year, top: store.top_k(store.importance(t.works.select(F.col("work_id").alias("store_id"), "year", F.col("citations").alias("citation_count"), F.lit(None).cast("double").alias("embedding_sim"), F.col("source_name").alias("venue")), current_year), top), {"current_year": Bound(int), "top": Bound(int, 50, 1, 1000)}, ("current_year",))
 
 
@@ -120,6 +118,10 @@ def _ids(t: Tables, ids: str):
 
 _add("ds.session.new", "A new session with an empty store", lambda t: {"session_id": SESSIONS.new().session_id})
 _add("ds.papers.search", "Search and add to the store", lambda t, session_id, keywords, limit, year_upper_limit: deep.search_papers(SESSIONS.get(session_id), t, keywords, limit, year_upper_limit), _SESSION | {"keywords": Bound(str), "limit": Bound(int, 100, 1, 1000), "year_upper_limit": Bound(int)}, ("session_id", "keywords"))
+_add("ds.papers.judge", "Write scores (paper id to number from 0 to 1) into the store", lambda t, session_id, scores: deep.judge(SESSIONS.get(session_id), t.works.sparkSession.createDataFrame([(str(i), float(x)) for i, x in scores.items()], "store_id string, score double")), _SESSION | {"scores": Bound(dict)}, ("session_id", "scores"))
+_add("ds.citations.fetch_refs", "Add what the store's papers cite", lambda t, session_id, limit, only_seeds: deep.expand(SESSIONS.get(session_id), t, "references", limit, bool(only_seeds)), _SESSION | {"limit": Bound(int, 50, 1, 1000), "only_seeds": Bound(int, 0, 0, 1)}, ("session_id",))
+_add("ds.citations.fetch_forward", "Add what cites the store's papers", lambda t, session_id, limit, only_seeds: deep.expand(SESSIONS.get(session_id), t, "citations", limit, bool(only_seeds)), _SESSION | {"limit": Bound(int, 100, 1, 1000), "only_seeds": Bound(int, 0, 0, 1)}, ("session_id",))
+_add("ds.store.stats", "Figures of the session's store", lambda t, session_id: deep.stats(SESSIONS.get(session_id)), _SESSION, ("session_id",))
 _add("ds.store.expand", "Add references or citing works of the store's papers", lambda t, session_id, direction, limit: deep.expand(SESSIONS.get(session_id), t, direction, limit, only_seeds=False), _SESSION | {"direction": Bound(str, "references", choices=("references", "citations")), "limit": Bound(int, 50, 1, 1000)}, ("session_id",))
 _add("ds.store.seeds.mark", "Mark papers (ids joined by commas) as seeds", lambda t, session_id, paper_ids: {"seeds": deep.mark_seeds(SESSIONS.get(session_id), _ids(t, paper_ids))}, _SESSION | {"paper_ids": Bound(str)}, ("session_id", "paper_ids"))
 _add("ds.store.session_rank", "The store's papers by importance", lambda t, session_id, current_year, top: deep.rank(SESSIONS.get(session_id), t, current_year, None, top), _SESSION | {"current_year": Bound(int), "top": Bound(int, 50, 1, 1000)}, ("session_id", "current_year"))

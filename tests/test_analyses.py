@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,16 +80,28 @@ def test_citations(t, spark):
 
 
 def test_reference_queries_over_all_references(spark):
-    """The whole table is asked: works beyond the share that the older names keep to are there."""
+    """The whole table is asked, not a share of the ids."""
     from paperloom.model.driver_tables import tables
     from paperloom.plans import registry
 
     sf = "/root/testdata/sf0.001"
     t, asked = tables(spark, sf), registry.queries()
-    assert asked["references_of_all"](spark, sf).where("work_id % 100 <> 0").count() > 0
-    assert asked["citations_of_all"](spark, sf).where("cited_id % 10 <> 0").count() > 0
+    assert asked["references_of"](spark, sf).where("work_id % 100 <> 0").count() > 0
+    assert asked["citations_of"](spark, sf).where("cited_id % 10 <> 0").count() > 0
     counts = citations.co_citation(t).select("ref_id", "co_citation_count")
-    assert asked["missing_references_all"](spark, sf).join(counts, ["ref_id", "co_citation_count"], "left_anti").count() == 0
+    assert asked["missing_references"](spark, sf).join(counts, ["ref_id", "co_citation_count"], "left_anti").count() == 0
+    assert asked["missing_references_of_type"](spark, sf).count() > 0
+
+
+def test_edges_of_rare_terms(spark):
+    """Pairs of terms outside the first ones count if they are heavy enough, exactly as when all are paired."""
+    rng = random.Random(3)
+    docs = [(n, f"t{rng.choice(range(rng.choice([3, 12, 30])))}") for n in range(80) for _ in range(6)]
+    terms = spark.createDataFrame(docs, "doc_id int, term string")
+    allowed = coword.allowed_terms(terms.groupBy("term").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("doc_id").alias("doc_count")), 1)
+    plain = lambda **o: [tuple(r) for r in coword.edges(terms, allowed, **o).collect()]
+    for top in (5, 40, 10_000):
+        assert plain(top=top, first=4) == plain(top=top, first=10_000)
 
 
 def test_readiness(t):

@@ -82,6 +82,27 @@ def test_deep_search_and_sessions(spark):
     assert set(held.held) == {third.session_id}
 
 
+def test_session_tools_work_on_the_session(spark):
+    from paperloom.model.driver_tables import tables
+    from paperloom.plans import tools
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    own = {"session_id": tools.run_tool("ds.session.new", t)["session_id"]}
+    with pytest.raises(ValueError, match="empty"):
+        tools.run_tool("ds.store.stats", t, own)
+    found = tools.run_tool("ds.papers.search", t, own | {"keywords": "work 22", "limit": 5})
+    assert found == {"added": 5, "total": 5}
+    ids = sorted(r["store_id"] for r in tools.SESSIONS.get(**own).rows.select("store_id").collect())
+    assert tools.run_tool("ds.papers.judge", t, own | {"scores": {ids[0]: 0.9, ids[1]: 0.1, "none": 1.0}})["evaluated"] == 2
+    assert tools.run_tool("ds.store.seeds.mark", t, own | {"paper_ids": ids[0]}) == {"seeds": 1}
+    more = tools.run_tool("ds.citations.fetch_refs", t, own | {"limit": 3})
+    assert more["added"] > 0 and more["total"] == 5 + more["added"]
+    stats = tools.run_tool("ds.store.stats", t, own).first()
+    assert (stats["total_papers"], stats["search_papers"], stats["evaluated_count"]) == (more["total"], 5, 2)
+    kept = {r["store_id"]: (r["tags"], r["is_seed"], r["is_evaluated"], r["llm_score"]) for r in tools.SESSIONS.get(**own).rows.collect()}
+    assert kept[ids[0]] == (["seed"], True, True, 0.9) and kept[ids[2]] == ([], False, False, None)
+
+
 def test_fuzzy_titles_meet_whatever_their_first_word_and_length(spark):
     import random
     from difflib import SequenceMatcher
