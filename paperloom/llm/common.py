@@ -35,6 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Frees a query's shuffle files as soon as it has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Parquet tables in the shared folder. They cut lineage and survive the loss of executors.
 
@@ -50,7 +54,13 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # Once the table is there nothing reads the shuffles behind it; they would stay on the executors' disks otherwise.
+        before = self.spark.conf.get(FREE, "false")
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(FREE, before)
         # The schema is given: without it an empty table's read would have to infer one.
         back = self.spark.read.schema(df.schema).parquet(path)
         back._paperloom_path = path
