@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +28,33 @@ from paperloom.llm.common import Workspace, arrow_map, components
 #: Most and least rows of a super-tile (at least ``SLABS`` of them are made, so that their pairs spread over tasks), rows of
 #: a tile, leading dimensions of the first pass.
 SUPER, SUPER_LEAST, SLABS, TILE, LEAD = 8192, 1024, 16, 256, 16
-_NEAR = 1e-9
+#: Cosines this near the threshold are settled on the given numbers; the most that moves a vector along the first axis.
+_NEAR, JITTER = 1e-9, 1e-9
 
 
-def rotation(unit: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes of unit vectors; each task sends one ``dim`` x ``dim`` sum, added up in Spark."""
+def given_vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of numbers, in double precision; huge or tiny ones scaled, so that squares neither overflow nor vanish."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    given = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    if len(given):
+        top = np.abs(given).max(1, keepdims=True)
+        given /= np.where((top > 1e100) | (top < 1e-100), top, 1.0)
+    return given
+
+
+def rotation(classes: DataFrame, dim: int) -> np.ndarray:
+    """Principal axes of the unit vectors; each task sends one ``dim`` x ``dim`` sum, added up in Spark."""
 
-    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for part in parts:
-            if len(part):
-                x = np.stack(part["v"].to_numpy()).astype(float)
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(dim * dim), "s": total.ravel()})
+            x = given_vectors(part.column(0), dim)
+            x /= np.sqrt((x**2).sum(1))[:, None]
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["i", "s"])
 
-    rows = unit.select("v").mapInPandas(sums, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    rows = classes.select("v").mapInArrow(sums, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
     matrix = np.zeros(dim * dim)
     for r in rows:
         matrix[r["i"]] = r["s"]
@@ -155,27 +166,33 @@ def kd_order(x: np.ndarray, tile: int) -> np.ndarray:
 
 def _super_pairs(cuts: list[float], threshold: float) -> list[list[int]]:
     """For each slab of the first axis the slabs (itself and later ones) that can hold vectors within the threshold."""
-    edges = np.arccos(np.clip([-1.0, *cuts, 1.0], -1, 1))[::-1]  # angles to the axis, rising; slabs run backwards
-    reach, n = np.arccos(min(1.0, threshold)) + 1e-6, len(cuts) + 1
-    high, low = edges[::-1][:-1], edges[::-1][1:]  # a slab's largest and least angle
-    return [[j for j in range(i, n) if low[i] - high[j] <= reach] for i in range(n)]
+    n = len(cuts) + 1
+    edges = np.array([-1.0, *cuts, 1.0])
+    # Angles to the axis of vectors that the jitter put into a slab.
+    high, low = np.arccos(np.clip(edges[:-1] - 2 * JITTER, -1, 1)), np.arccos(np.clip(edges[1:] + 2 * JITTER, -1, 1))
+    reach = np.arccos(min(1.0, threshold)) + 1e-6
+    return [[j for j in range(i, n) if low[i] - high[j] <= reach and low[j] - high[i] <= reach] for i in range(n)]
 
 
-def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows: int | None) -> DataFrame:
+def _compared(space: Workspace, classes: DataFrame, dim: int, n: int, threshold: float, super_rows: int | None) -> DataFrame:
     """Counts (``key``, ``n``) and forest edges (``u``, ``v``) among classes of one length."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    # Scaled by the largest component first: squares of huge or tiny numbers neither overflow nor vanish.
-    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    scaled = F.transform("v", lambda x: x.cast("double") / F.col("top"))
-    unit = classes.withColumn("given", F.col("v")).withColumn("top", top).withColumn("v", scaled).withColumn("norm", norm(F.col("v")))
-    axes = rotation(unit.select(F.transform("v", lambda x: x / F.col("norm")).alias("v")), dim)
+    axes = rotation(classes, dim)
     slabs = -(-n // (super_rows or min(SUPER, max(SUPER_LEAST, -(-n // SLABS)))))
-    first = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axes[:, 0]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.col("norm")
-    jitter = F.xxhash64("key") * F.lit(1e-9 / 2**63)  # spreads vectors that are equal on the axis
-    # The vectors travel as they were given; single precision takes half the room.
-    placed = unit.select("key", "rep", "n", "given", (first + jitter).alias("y"))
+    kind = dict(classes.dtypes)["v"]
+
+    def along():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            key, rep, n, v, jitter = batch.columns
+            given = given_vectors(v, dim)
+            yield {"key": key, "rep": rep, "n": n, "given": v, "y": given @ axes[:, 0] / np.sqrt((given**2).sum(1)) + jitter.to_numpy()}
+
+        return work
+
+    # The jitter spreads vectors that are equal on the axis. The vectors travel as they were given; single precision takes
+    # half the room.
+    jittered = classes.withColumn("jitter", F.xxhash64("key") * F.lit(JITTER / 2**63))
+    placed = space.write(arrow_map(jittered, ["key", "rep", "n", "v", "jitter"], f"key string, rep bigint, n bigint, given {kind}, y double", along), "placed")
     cuts = sorted(set(placed.approxQuantile("y", [k / slabs for k in range(1, slabs)], 0.2 / slabs))) if slabs > 1 else []
-    # The jitter moves a vector less than the bound's slack allows for.
     partners = _super_pairs(cuts, threshold)
     pairs = [(i, j) for i, others in enumerate(partners) for j in others]
     of_slab: dict[int, list[int]] = {}
@@ -193,15 +210,12 @@ def _compared(classes: DataFrame, dim: int, n: int, threshold: float, super_rows
 
         return place
 
-    kind = dict(classes.dtypes)["v"]
     dealt = arrow_map(placed, ["key", "rep", "n", "given", "y"], f"key string, rep bigint, n bigint, v {kind}, slab int, pair array<int>", deal).withColumn("pair", F.explode("pair"))
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         i, j = side[group["pair"][0].as_py()]
-        given = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(group), dim)
-        top = np.abs(given).max(1, keepdims=True)
-        given /= np.where((top > 1e100) | (top < 1e-100), top, 1.0)  # squares of huge or tiny numbers stay in range
+        given = given_vectors(group["v"], dim)
         turned = (given @ axes) / np.sqrt((given**2).sum(1))[:, None]
         rep, weight, slab = (group[c].to_numpy() for c in ("rep", "n", "slab"))
         sides = []
@@ -238,7 +252,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     classes = space.write(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "classes")
     results = space.spark.createDataFrame([], "key string, n bigint, u bigint, v bigint")
     for dim, n in sorted((r["d"], r["n"]) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()):
-        results = results.unionByName(_compared(classes.where(F.size("v") == dim), dim, n, threshold, super_rows))
+        results = results.unionByName(_compared(space, classes.where(F.size("v") == dim), dim, n, threshold, super_rows))
     found = space.write(results, "found")
     links = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("linked"))
     reached = components(space, found.where("key is null").select("u", "v"))
