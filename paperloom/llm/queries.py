@@ -85,7 +85,50 @@ SELECT page_id, host, path,
        ELSE 'allow' END AS verdict
 FROM r
 """
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Every window against every window of its size; the operator winnows.
+_OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+item AS (SELECT item_id, words, least(13, len(words)) AS k FROM b WHERE len(words) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(words[i : i + k - 1], ' ') AS gram FROM (SELECT item_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM item)),
+sizes AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT doc_id, k, i, array_to_string(words[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, sizes WHERE len(words) >= k)),
+found AS (SELECT doc_id, k, i, item_id FROM grams JOIN win USING (k, gram)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+#: All pairs, and all that each vector reaches.
+_OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+fit AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS n FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ok AS MATERIALIZED (SELECT vec_id, list_transform(x, lambda c: c / n) AS u FROM fit WHERE n > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND CASE WHEN len(a.u) = len(b.u) THEN list_dot_product(a.u, b.u) >= 0.9 END),
+reach AS (SELECT a AS node, a AS other FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a),
+least AS (SELECT node, min(other) AS m FROM reach GROUP BY node),
+links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id, coalesce(least(m, vec_id), vec_id) = vec_id AS kept
+FROM v LEFT JOIN links ON links.a = vec_id LEFT JOIN least ON least.node = vec_id
+"""
+#: All pairs of distinct sets that share a shingle, counted whole.
+_OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS grams FROM d),
+class AS (SELECT md5(array_to_string(list_sort(grams), chr(10))) AS node, min(doc_id) AS rep, any_value(grams) AS grams, len(any_value(grams)) AS n FROM s WHERE len(grams) > 0 GROUP BY 1),
+g AS (SELECT rep, n, unnest(grams) AS gram FROM class),
+pair AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.gram = b.gram AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair WHERE 100 * c >= 75 * (na + nb - c)),
+reach AS (SELECT a AS node, a AS other FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a),
+least AS (SELECT node, min(other) AS m FROM reach GROUP BY node),
+of AS (SELECT s.doc_id, len(s.grams) AS n, class.rep FROM s LEFT JOIN class ON len(s.grams) > 0 AND class.node = md5(array_to_string(list_sort(s.grams), chr(10))))
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(least(m, rep), rep, doc_id) AS component_id, coalesce(least(m, rep), rep, doc_id) = doc_id AS kept
+FROM of LEFT JOIN least ON least.node = rep
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2}
+    return {"op2_url_filter": _OP2, "op4_decontaminate": _OP4, "op7_embedding_dedup": _OP7, "op9_near_duplicates": _OP9}
