@@ -123,11 +123,11 @@ def in_domain_score(inside: Column, total: Column) -> Column:
 
 def should_supplement_lookup(expected: Column, found: Column, limit: int) -> Column:
     """Whether a second source is asked: nothing found, or a gap of a third within the limit."""
-    return F.when(found == 0, F.lit(True)).when(expected.isNull() | (expected <= 0) | (expected > limit), F.lit(False)).otherwise((expected - found) / expected >= 0.33)
+    return F.when(found == 0, F.lit(True)).when(expected.isNull() | (expected <= 0) | (expected > limit), F.lit(False)).otherwise(F.abs(expected - found) / expected >= 0.33)
 
 
 def should_supplement_fetch(total: Column, fetched: Column, least: int = 300) -> Column:
-    return F.when(fetched == 0, F.lit(True)).when(total.isNull() | (total <= least), F.lit(False)).otherwise((total - fetched) / total >= 0.33)
+    return F.when(fetched == 0, F.lit(True)).when(total.isNull() | (total <= least), F.lit(False)).otherwise(F.abs(total - fetched) / total >= 0.33)
 
 
 def url_type(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,10 @@ def coauthor_edges(t: Tables, top: int = 300, min_weight: int = 1) -> DataFrame:
     return made.groupBy("source", "target").agg(count().alias("weight")).where(F.col("weight") >= min_weight).orderBy(F.desc("weight"), "source", "target").limit(top)
 
 
-def collaborators(t: Tables) -> DataFrame:
-    """Distinct partners of each author: pairs inside each work, combined before they are shuffled."""
+def collaborators(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    """Distinct partners of each author (of those in ``of`` alone): pairs inside each work, combined before they are shuffled."""
     made = _author_sets(t).select(F.explode("authors").alias("author_id"), "authors")
+    made = made.join(of, "author_id", "left_semi") if of is not None else made
     partner = made.select("author_id", F.explode("authors").alias("partner")).where("author_id <> partner").distinct()
     return partner.groupBy("author_id").agg(count().alias("collaborator_count"))
 
@@ -62,15 +65,18 @@ def by_year(t: Tables) -> DataFrame:
 
 
 def landscape(t: Tables, top: int = 30, min_papers: int = 1) -> DataFrame:
-    """The full author table. Partners and affiliations are computed for the returned authors' rows by joins on their ids."""
-    listed = t.authorships.select("work_id", "author_id", "author_name").join(t.works.select("work_id", "citations"), "work_id")
-    per_paper = listed.groupBy("author_id", "work_id").agg(F.max("author_name").alias("name"), F.max("citations").alias("citations"))
-    stats = per_paper.groupBy("author_id").agg(F.max("name").alias("name"), F.sum("citations").alias("total_citations"), S.h_index(F.collect_list("citations")).alias("corpus_h_index"))
-    rows = roles(t).where(F.col("n_papers") >= min_papers).join(stats, "author_id")
-    best = rows.orderBy(F.desc("n_papers"), F.desc("total_citations"), "author_id").limit(top)
-    topics = t.authorships.select("work_id", "author_id").join(t.topics, "work_id").groupBy("author_id").agg(F.count_distinct("topic_id").alias("topic_count"))
+    """The full author table. One pass finds the returned authors; partners, affiliations and topics are made for these alone."""
+    flags = {"first_author_papers": "is_first", "last_author_papers": "is_last", "corresponding_author_papers": "is_corresponding"}
+    per_paper = t.authorships.groupBy("author_id", "work_id").agg(F.max("author_name").alias("name"), *[F.count_if(f).alias(c) for c, f in flags.items()])
+    stats = per_paper.join(t.works.select("work_id", "citations"), "work_id").groupBy("author_id").agg(
+        count().alias("n_papers"), *[F.sum(c).alias(c) for c in flags], F.max("name").alias("name"), F.sum("citations").alias("total_citations"), S.h_index(F.collect_list("citations")).alias("corpus_h_index")
+    )
+    best = stats.where(F.col("n_papers") >= min_papers).orderBy(F.desc("n_papers"), F.desc("total_citations"), "author_id").limit(top)
+    ids = F.broadcast(best.select("author_id"))  # at most ``top`` rows
+    own = replace(t, authorships=t.authorships.join(ids, "author_id", "left_semi"))
+    topics = own.authorships.select("work_id", "author_id").join(t.topics, "work_id").groupBy("author_id").agg(F.count_distinct("topic_id").alias("topic_count"))
     out = best
-    for part in (collaborators(t), affiliation_counts(t), topics, primary_affiliation(t).drop("n_listings")):
+    for part in (collaborators(t, ids), affiliation_counts(own), topics, primary_affiliation(own).drop("n_listings")):
         out = out.join(part, "author_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(

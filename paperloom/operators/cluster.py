@@ -60,6 +60,12 @@ def representatives(documents: DataFrame, per_topic: int = 5) -> DataFrame:
     return documents.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_topic)
 
 
+def flatten_representatives(topics: DataFrame) -> DataFrame:
+    """Lists of documents (``topic_id, documents``: an array of structs) as rows with their rank from 1."""
+    rows = topics.select("topic_id", F.posexplode("documents").alias("_p", "_d"))
+    return rows.select("topic_id", (F.col("_p") + 1).alias("rank"), "_d.*")
+
+
 def topics_by_year(documents: DataFrame, years: DataFrame) -> DataFrame:
     return documents.join(years, "doc_id").where("year is not null").groupBy("year", "topic_id").agg(count().alias("count"))
 

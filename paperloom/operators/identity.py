@@ -29,7 +29,7 @@ def keyed(papers: DataFrame) -> DataFrame:
 
 def merge(papers: DataFrame, order: str = "source_rank") -> DataFrame:
     """One row for each key: every field from the first source (by ``order``) that has it. Not transitive: rows known by
-    different ids stay apart (``merge_connected`` joins them)."""
+    different ids stay apart."""
     fields = [c for c in papers.columns if c not in ("key", order)]
     kinds = dict(papers.dtypes)
 
@@ -49,6 +49,42 @@ def merge_by_title(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return primary.unionByName(once)
 
 
+def supplemented(works: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Citing papers of each work: the first source's and, where it found too few for the work's ``citation_count``, those of a
+    second source whose title is new to that work (each once, the smallest id). Papers have ``work_id, id, title``."""
+    title = lambda: F.lower(F.trim(F.coalesce("title", F.lit(""))))
+    fetched = primary.groupBy("work_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = works.select("work_id", "citation_count").join(fetched, "work_id", "left").where(S.should_supplement_fetch(F.col("citation_count"), F.coalesce("_n", F.lit(0))))
+    fresh = secondary.join(asked.select("work_id"), "work_id", "left_semi").withColumn("_t", title()).where("_t <> ''").join(primary.select("work_id", title().alias("_t")).distinct(), ["work_id", "_t"], "left_anti")
+    once = fresh.groupBy("work_id", "_t").agg(F.min_by(F.struct(*secondary.columns), "id").alias("r")).select("r.*")
+    return primary.unionByName(once)
+
+
+def get_by_ids(ids: DataFrame, papers: DataFrame) -> DataFrame:
+    """The paper of each asked id (``pos, id``), by position; nulls where it isn't known, the least row where several are."""
+    fields = [c for c in papers.columns if c != "id"]
+    known = papers.where("id is not null").groupBy("id").agg(F.min(F.struct(*fields)).alias("p"))
+    return ids.select("pos", "id").join(known, "id", "left").select("pos", "id", *[F.col(f"p.{c}").alias(c) for c in fields]).orderBy("pos")
+
+
+def get_by_doi(dois: DataFrame, papers: DataFrame, limit: int | None = None) -> DataFrame:
+    """Papers by DOI in whatever form either side gives it, each asked one once; at most ``limit`` of them."""
+    wanted = dois.select(F.lower(S.doi_key(F.col("doi"))).alias("_doi")).where("_doi is not null").distinct()
+    found = papers.withColumn("_doi", F.lower(S.doi_key(F.col("doi")))).join(wanted, "_doi", "left_semi").drop("_doi")
+    return found.orderBy("id").limit(limit) if limit else found
+
+
+def s2_identifiers(identities: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """``req, s2_identifier``: an identity's own id, else its corpus id, else those of what ``resolved`` (``req, s2_id,
+    s2_corpus_id``) found for it; null where there is none."""
+    of = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.concat(F.lit("CorpusId:"), F.nullif(b, F.lit(""))))
+    own = of(F.col("s2_id"), F.col("s2_corpus_id"))
+    if resolved is None:
+        return identities.select("req", own.alias("s2_identifier"))
+    second = resolved.groupBy("req").agg(F.min(of(F.col("s2_id"), F.col("s2_corpus_id"))).alias("_second"))
+    return identities.join(second, "req", "left").select("req", F.coalesce(own, "_second").alias("s2_identifier"))
+
+
 def enrich(edges: DataFrame, metadata: DataFrame) -> DataFrame:
     """Fill an edge table's blanks from metadata, by id or else by DOI."""
     by = lambda c, k: metadata.select(F.col(k).alias(c), F.struct("title", "year", "citation_count").alias(f"_{c}")).where(F.col(c).isNotNull()).dropDuplicates([c])

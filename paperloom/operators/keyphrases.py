@@ -85,3 +85,15 @@ def match_source_rows(terms: DataFrame, rows: DataFrame) -> DataFrame:
     same = terms.alias("t").join(rows.alias("r"), (F.col("t.doc_id") == F.col("r.doc_id")) & ((F.col("t.term") == F.col("r.term")) | F.contains(F.col("r.term"), F.col("t.term")) | F.contains(F.col("t.term"), F.col("r.term"))), "left")
     order = F.struct((F.col("t.term") != F.col("r.term")).alias("a"), F.col("r.rank").alias("b"))
     return same.groupBy(F.col("t.doc_id").alias("doc_id"), F.col("t.term").alias("term")).agg(F.min_by("r.term", order).alias("source_term"))
+
+
+def refine(given: DataFrame, rows: DataFrame, most: int = 10) -> DataFrame:
+    """Phrases that a model chose for each document (``doc_id``, ``items``: an array of structs ``term, category,
+    source_terms``), normalised and ranked from 1, with the score of their source row among ``rows`` (``doc_id, rank, term,
+    score``). Empty phrases go; a document without any keeps its rows, with a null ``llm_rank``."""
+    clean = lambda c: T.clean_phrase(U.nfkd_udf(F.coalesce(c, F.lit(""))))
+    listed = given.select("doc_id", F.posexplode(F.slice("items", 1, most)).alias("p", "x"))
+    terms = listed.select("doc_id", (F.col("p") + 1).alias("llm_rank"), clean(F.col("x.term")).alias("term"), F.col("x.category").alias("category"), F.array_join("x.source_terms", ";").alias("source_terms")).where("term <> ''")
+    matched = match_source_rows(terms.select("doc_id", "term").distinct(), rows).join(rows.select("doc_id", F.col("term").alias("source_term"), "score"), ["doc_id", "source_term"], "left")
+    refined = terms.join(matched, ["doc_id", "term"]).select("doc_id", "llm_rank", "term", "score", "category", "source_terms")
+    return refined.unionByName(rows.join(terms.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "term", "score"), allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
@@ -110,3 +110,25 @@ def pruned_nodes(rows: DataFrame, papers: DataFrame, keep: int = 36) -> DataFram
     """Nodes of a drawing: score 2 * papers + strength + 0.35 * degree, the best ``keep``; nodes without an edge are out."""
     scored = node_weights(rows).join(papers, "node", "left").withColumn("score", 2 * F.coalesce("n_papers", F.lit(0.0)) + F.col("weighted_degree") + 0.35 * F.col("degree"))
     return scored.orderBy(F.desc("score"), "node").limit(keep)
+
+
+def country_table(spark: SparkSession) -> DataFrame:
+    """``key, iso3, name`` of the ISO 3166 countries that the JVM knows, two rows for each (by its two and its three letters);
+    names are the JVM's English ones. About 500 rows."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    rows = []
+    for code in locale.getISOCountries():
+        here = locale("", code)
+        rows += [(key, here.getISO3Country(), here.getDisplayCountry(locale.ENGLISH)) for key in (code, here.getISO3Country())]
+    return spark.createDataFrame(rows, "key string, iso3 string, name string")
+
+
+def with_countries(rows: DataFrame, code: str = "country_code") -> DataFrame:
+    """Rows with ``country_iso3`` and ``country_name`` behind their code. A code of three letters is its own ISO3; an unknown
+    one has an empty ISO3 and itself as its name; a null or empty code has two empty ones."""
+    known = F.broadcast(country_table(rows.sparkSession))
+    own = F.coalesce(F.col(code), F.lit(""))
+    found = rows.join(known, F.upper(own) == F.col("key"), "left")
+    iso3 = F.when(F.length(own) == 3, F.upper(own)).otherwise(F.coalesce("iso3", F.lit("")))
+    at = rows.columns.index(code) + 1
+    return found.select(*rows.columns[:at], iso3.alias("country_iso3"), F.coalesce("name", own).alias("country_name"), *rows.columns[at:])

@@ -85,6 +85,20 @@ def author_candidates(t, name: str, top: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("works_count"), "author_id").limit(top)
 
 
+def resolve_entity(entities: DataFrame, name: str, top: int = 3) -> dict:
+    """What a name means among entities (``id, display_name, works_count, cited_by_count``): the best hit, the ``top`` candidates
+    and a note where there are several. Equal names lead, then names that begin with it, then those that hold it; larger
+    entities first. No hit raises ``ValueError``."""
+    own = F.lower(F.trim(F.col("display_name")))
+    wanted = name.strip().lower()
+    hits = entities.where(own.contains(wanted)).orderBy(F.when(own == wanted, 0).when(own.startswith(wanted), 1).otherwise(2), F.desc_nulls_last("works_count"), "id").limit(top)
+    found = [r.asDict() for r in hits.select(S.compact_id(F.col("id")).alias("id"), "display_name", "works_count", "cited_by_count").collect()]
+    if not found:
+        raise ValueError(f"no entity named {name!r}")
+    notes = [f"{name!r} was taken for {found[0]['display_name']!r}; candidates holds the others"] if len(found) > 1 else []
+    return {"input": name, "id": found[0]["id"], "display_name": found[0]["display_name"], "candidates": found, "diagnostics": notes}
+
+
 def keyword_search(docs: DataFrame, query: str, top: int = 100) -> DataFrame:
     """Texts by the share of query words they hold; offline stand-in for a keyword service, with its search rank."""
     from pyspark.sql import Window

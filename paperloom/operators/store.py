@@ -80,6 +80,22 @@ def add_tags(store: DataFrame, ids: DataFrame, tags: Sequence[str], seed: bool =
     return out.drop("_hit")
 
 
+def set_edges(store: DataFrame, edges: DataFrame, side: str) -> DataFrame:
+    """Replace the list ``side`` (``references`` or ``citations``) of given rows by ``edges`` (``store_id, edges``: an array of
+    structs with a ``corpus_id``). Null lists and rows that aren't given change nothing."""
+    if side not in ("references", "citations"):
+        raise ValueError(f"{side} is no edge list")
+    old = F.col(side) if side in store.columns else F.lit(None).cast(edges.schema["edges"].dataType)
+    new = edges.where("edges is not null").groupBy("store_id").agg(F.first("edges").alias("_new"))
+    return store.join(new, "store_id", "left").withColumn(side, F.coalesce("_new", old)).drop("_new")
+
+
+def edge_ids(store: DataFrame, side: str) -> DataFrame:
+    """``store_id, ids``: the corpus ids of a list of edges, without empty ones."""
+    ids = F.filter(F.transform(side, lambda e: e["corpus_id"].cast("string")), lambda i: i != "")
+    return store.select("store_id", F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
+
+
 def by_tags(store: DataFrame, tags: Sequence[str], match_all: bool = False) -> DataFrame:
     wanted = F.array(*[F.lit(t) for t in tags])
     return store.where(F.size(F.array_except(wanted, "tags")) == 0 if match_all else F.arrays_overlap("tags", wanted))

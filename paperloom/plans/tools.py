@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from paperloom.model.tables import Tables
-from paperloom.operators import authors, bibliometrics, citations, cluster, coword, deep, embed, graph, macro, readiness, search, store, topics
+from paperloom.operators import authors, bibliometrics, citations, cluster, coword, deep, embed, graph, identity, macro, readiness, search, store, topics
+from paperloom.sources import records
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,29 @@ def _search(t: Tables, **arguments):
     return search.search(t, search.WorksRequest(**{k: v for k, v in arguments.items() if v is not None}))
 
 
+def _resolve(t: Tables, work_id: str | None, doi: str | None, title: str | None):
+    if not (work_id or doi or title):
+        raise ValueError("give an id, a DOI or a title")
+    asked = t.works.sparkSession.createDataFrame([(0, work_id, doi, None, title)], "req int, id string, doi string, arxiv_id string, title string")
+    known = t.works.select(F.col("work_id").cast("string").alias("id"), F.col("doi").cast("string") if "doi" in t.works.columns else F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), "title")
+    found = identity.resolve(asked, known).where("id is not null").select(F.col("id").alias("_id"), F.element_at(F.array(*map(F.lit, ("id", "doi", "arxiv_id", "title"))), F.col("stage") + 1).alias("matched_by"), "score")
+    return t.works.join(found, F.col("work_id").cast("string") == F.col("_id")).drop("_id")
+
+
+def _conference(t: Tables, venue: str, year: int, query: str | None, source: str | None, source_collection_id: str | None, limit: int) -> dict:
+    name = records.conference_source(venue, source, source_collection_id)
+    rows = t.works.where((F.lower("source_name") == venue.lower()) & (F.col("year") == year))
+    rows = rows.where(F.lower("title").contains(query.lower())) if query else rows
+    return {"source": name, "request": records.dblp_query(venue, year, query) if name == "dblp" else None, "papers": rows.orderBy(F.desc("citations"), "work_id").limit(limit)}
+
+
+def _deep(t: Tables, keywords: str, scores: dict | None, current_year: int, seeds: int, top: int):
+    given = t.works.sparkSession.createDataFrame([(str(i), float(x)) for i, x in (scores or {}).items()], "store_id string, score double")
+    return deep.deep_search(t, [k.strip() for k in keywords.split(";") if k.strip()], given, current_year, seeds, top)
+
+
 _add("analysis.bibliometrics", "Totals, yearly impact, authors, sources, topics, top papers", lambda t, top: {"overview": bibliometrics.overview(t), "annual": bibliometrics.annual_impact(t), "growth": bibliometrics.growth_rate(t), "types": bibliometrics.document_types(t), "authors": bibliometrics.top_authors(t, top), "papers": bibliometrics.top_papers(t, top), "sources": bibliometrics.top_sources(t, top), "topics": bibliometrics.top_topics(t, top)}, _TOP)
-_add("analysis.macro", "Countries and institutions with their links", lambda t, top, min_count, counting: {"overview": macro.overview(t), "countries": macro.countries(t, counting, top, min_count), "institutions": macro.institutions(t, counting, top, min_count), "country_edges": macro.edges(t, "country_code"), "institution_edges": macro.edges(t, "institution_id"), "country_by_year": macro.country_by_year(t), "density": macro.density(t, counting), "corresponding": macro.corresponding(t, top)}, _TOP | _LEAST | {"counting": Bound(str, "full", choices=("full", "fractional"))})
+_add("analysis.macro", "Countries and institutions with their links", lambda t, top, min_count, counting: {"overview": macro.overview(t), "countries": macro.with_countries(macro.countries(t, counting, top, min_count)), "institutions": macro.institutions(t, counting, top, min_count), "country_edges": macro.edges(t, "country_code"), "institution_edges": macro.edges(t, "institution_id"), "country_by_year": macro.with_countries(macro.country_by_year(t)), "density": macro.with_countries(macro.density(t, counting)), "corresponding": macro.with_countries(macro.corresponding(t, top))}, _TOP | _LEAST | {"counting": Bound(str, "full", choices=("full", "fractional"))})
 _add("analysis.author_landscape", "Author roles, partners, affiliations, topics", lambda t, top, min_papers, focus: {"authors": authors.landscape(t, top, min_papers), "edges": authors.coauthor_edges(t), "topics": authors.author_topics(t), "by_year": authors.by_year(t)}, _TOP | {"min_papers": Bound(int, 1, 1, 1000), "focus": Bound(str)})
 _add("analysis.coword", "Terms, their links and clusters", _coword, {"top": Bound(int, 100, 1, 1000), "min_count": Bound(int, 2, 1, 1000), "top_edges": Bound(int, 300, 1, 10_000), "ngram_max": Bound(int, 2, 1, 5)})
 _add("analysis.topic_landscape", "Given topics and their years", lambda t, top, min_count: {"topics": topics.topic_landscape(t, top, min_count), "by_year": topics.topic_by_year(t, top, min_count)}, _TOP | {"min_count": Bound(int, 2, 1, 1000)})
@@ -100,6 +122,9 @@ _add("authors.from_work", "Authors of a work", lambda t, work_id, position: sear
 _add("citations.references", "What a work cites", lambda t, work_id, limit: citations.references_of(t, t.works.where(F.col("work_id").cast("string") == work_id), limit), {"work_id": Bound(str), "limit": Bound(int, 1000, 1, 1000)}, ("work_id",))
 _add("citations.citations", "What cites a work", lambda t, work_id, limit: citations.citations_of(t, t.works.where(F.col("work_id").cast("string") == work_id), most_per_work=limit), {"work_id": Bound(str), "limit": Bound(int, 1000, 1, 1000)}, ("work_id",))
 _add("citations.lookup", "Both directions of a work", lambda t, work_id, limit: {"references": TOOLS["citations.references"].run(t, {"work_id": work_id, "limit": limit}), "citations": TOOLS["citations.citations"].run(t, {"work_id": work_id, "limit": limit})}, {"work_id": Bound(str), "limit": Bound(int, 1000, 1, 1000)}, ("work_id",))
+_add("citations.resolve", "The work that an id, DOI or title means", _resolve, {"work_id": Bound(str), "doi": Bound(str), "title": Bound(str)})
+_add("conferences.papers", "A venue's works of a year", _conference, {"venue": Bound(str), "year": Bound(int), "query": Bound(str), "source": Bound(str), "source_collection_id": Bound(str), "limit": Bound(int, 100, 1, 10_000)}, ("venue", "year"))
+_add("search.deep", "Keyword rounds (joined by ';'), judged by given scores, expanded and ranked", _deep, {"keywords": Bound(str), "scores": Bound(dict), "current_year": Bound(int), "seeds": Bound(int, 5, 1, 100), "top": Bound(int, 50, 1, 1000)}, ("keywords", "current_year"))
 _add("dataset.info", "Size of the collection", lambda t: {"records": t.works.count(), "columns": t.works.columns})
 _add("ds.citations.co_cite", "References that several works share", lambda t, min_count: citations.co_citation(t, min_count, keep_missing=False), {"min_count": Bound(int, 2, 1, 1000)})
 _add("ds.store.seeds.candidates", "Works the collection cites most for their fame", lambda t, top, min_in_domain: citations.seed_candidates(t, top, min_in_domain), {"top": Bound(int, 10, 1, 200), "min_in_domain": Bound(int, 2, 1, 1000)})

@@ -87,6 +87,20 @@ def save(rows: DataFrame, root: str, kind: str, command: str, request: dict, met
     return path
 
 
+def as_table(spark: SparkSession, value: object) -> DataFrame:
+    """A result as a table: DataFrames as they are, a list of mappings as rows, a mapping as one row, anything else as one
+    ``value``. Fields that a row lacks are null; an empty list has no rows and no columns."""
+    if isinstance(value, DataFrame):
+        return value
+    rows = value if isinstance(value, list) else [value] if isinstance(value, dict) else [{"value": value}]
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    if not names:
+        return spark.createDataFrame([], "struct<>")
+    empty = [n for n in names if all(r.get(n) is None for r in rows)]
+    table = spark.createDataFrame([tuple("" if n in empty else r.get(n) for n in names) for r in rows], names)
+    return table.withColumns({n: F.lit(None).cast("string") for n in empty})
+
+
 def save_analysis(spark: SparkSession, path: str, tables: dict[str, DataFrame], summary: str = "", diagnostics: list[str] | None = None) -> dict[str, str]:
     """One CSV for each table (nested columns as JSON), a Markdown summary and the list of what was written."""
     files = {}

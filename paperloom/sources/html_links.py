@@ -111,6 +111,13 @@ def acl_listing(links: DataFrame, title_filter: str | None = None) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("page_id", "pos", "source_record_id", F.col("link_text").alias("title"), F.col("href").alias("landing_url"))
 
 
+def acl_proceedings(links: DataFrame, venue: str, year: int) -> DataFrame:
+    """The first link of each venue page that leads to the proceedings of a year."""
+    bare = F.lower(F.trim(F.col("href"), F.lit("/")))
+    hit = links.where(bare.startswith(f"{year}.{venue.lower()}") | bare.startswith(f"{year}-{venue.lower()}"))
+    return hit.groupBy("page_id").agg(F.min_by("href", "pos").alias("proceedings_url"))
+
+
 def cvf_listing(links: DataFrame, near: int = 7) -> DataFrame:
     """Papers of a listing with the first PDF link among the next seven links."""
     following = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, near)

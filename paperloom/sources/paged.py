@@ -14,6 +14,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
@@ -51,6 +52,30 @@ def follow(fetch: Callable[[str, int], dict], limit: int, page: int = 200) -> It
         cursor = (answer.get("meta") or {}).get("next_cursor")
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A service that answers works requests page by page."""
+
+    name: str
+    endpoint: str
+    headers: dict = field(default_factory=dict)
+
+    def fetch(self, path: str, params: dict, get: Callable = get_json) -> Callable[[str, int], dict]:
+        """The pages of a request, for ``follow``."""
+        return lambda cursor, size: get(f"{self.endpoint}/{path.lstrip('/')}", params | {"cursor": cursor, "per_page": size}, self.headers)
+
+
+def provider(name: str = "auto", endpoint: str | None = None, token: str | None = None) -> Provider:
+    """The provider that a name stands for: the public works API, or a service at an endpoint of the caller's."""
+    if name in ("auto", "openalex"):
+        return Provider("openalex", (endpoint or "https://api.openalex.org").rstrip("/"))
+    if name == "service":
+        if not endpoint:
+            raise ValueError("a service needs an endpoint")
+        return Provider("service", endpoint.rstrip("/"), {"Authorization": f"Bearer {token}"} if token else {})
+    raise ValueError(f"no provider {name}")
+
+
 class _Request(InputPartition):
     def __init__(self, name: str) -> None:
         super().__init__(name)

@@ -5,7 +5,7 @@ Readers give the JSON with Spark (``spark.read.json``); nothing here calls a net
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
@@ -84,10 +84,67 @@ def dblp_hits(raw: DataFrame, year: int | None = None) -> DataFrame:
     people = F.when(listed.startswith("["), several).when(listed.startswith("{"), one).otherwise(F.array().cast("array<struct<`@pid`: string, text: string>>"))
     authors = F.transform(people, lambda x, i: F.struct(x["@pid"].alias("id"), F.regexp_replace(x["text"], r" \d{4}$", "").alias("display_name"), (i + 1).alias("position")))
     found = text("year").try_cast("int")
-    rows = raw.select(F.get_json_object("info", "$.key").alias("source_record_id"), F.rtrim(text("title"), F.lit(".")).alias("title"), found.alias("publication_year"), text("venue").alias("venue"), S.doi_key(text("doi")).alias("doi"), F.get_json_object("info", "$.url").alias("landing_url"), authors.alias("authors"))
+    outside = first_url(F.get_json_object("info", "$.ee"))
+    rows = raw.select(F.get_json_object("info", "$.key").alias("source_record_id"), F.rtrim(text("title"), F.lit(".")).alias("title"), found.alias("publication_year"), text("venue").alias("venue"), S.doi_key(text("doi")).alias("doi"), F.coalesce(text("url"), outside).alias("landing_url"), F.when(F.lower(outside).endswith(".pdf"), outside).alias("pdf_url"), authors.alias("authors"))
     return rows.where((F.coalesce("publication_year", F.lit(0)) == 0) | (F.col("publication_year") == year)) if year else rows
 
 
+def first_url(value: Column) -> Column:
+    """First URL of a JSON field that is a string, a mapping (``#text``, ``text`` or ``url``) or a list of these."""
+    named = lambda v: F.coalesce(*[F.nullif(F.get_json_object(v, p), F.lit("")) for p in ("$['#text']", "$.text", "$.url")])
+    one = lambda v: F.nullif(F.trim(F.when(v.startswith("{"), named(v)).otherwise(v)), F.lit(""))
+    listed = F.filter(F.transform(F.from_json(value, "array<string>"), one), lambda u: u.isNotNull())
+    return F.when(value.startswith("["), F.get(listed, 0)).otherwise(one(value))
+
+
+# Venue names of the conference index.
+DBLP_VENUES = {
+    "aaai": "AAAI", "acl": "ACL", "acm mm": "ACM Multimedia", "chi": "CHI", "cikm": "CIKM", "cvpr": "CVPR", "eccv": "ECCV",
+    "emnlp": "EMNLP", "iccv": "ICCV", "iclr": "ICLR", "icml": "ICML", "ijcai": "IJCAI", "kdd": "KDD", "mm": "ACM Multimedia",
+    "naacl": "NAACL", "neurips": "NeurIPS", "nips": "NeurIPS", "sigir": "SIGIR", "sigmod": "SIGMOD Conference", "uist": "UIST",
+    "www": "WWW",
+}
+# End of fixed values.
+
+
+def dblp_query(venue: str, year: int, words: str | None = None) -> str:
+    """The index's query for a venue's year, led by the words that are asked for."""
+    return " ".join([*([words] if words else []), f"venue:{DBLP_VENUES.get(venue, venue.upper())}:", f"year:{year}:"])
+
+
+def with_aliases(papers: DataFrame) -> DataFrame:
+    """Papers with both names of their citation count, and with ``year``; columns that are there stay as they are."""
+    for there, other in (("cited_by_count", "citation_count"), ("citation_count", "cited_by_count"), ("publication_year", "year")):
+        if there in papers.columns and other not in papers.columns:
+            papers = papers.withColumn(other, F.col(there))
+    return papers
+
+
+def s2_as_openalex(raw: DataFrame) -> DataFrame:
+    """Semantic-graph papers with the field names of saved works; the corpus id, else the paper id, is their id."""
+    corpus = F.coalesce(_field(raw, "corpusId").cast("string"), _field(raw, "externalIds.CorpusId").cast("string"))
+    text = lambda path: F.coalesce(_field(raw, path), F.lit(""))
+    count = F.coalesce(_field(raw, "citationCount", "int").cast("int"), F.lit(0))
+    year = _field(raw, "year", "int").cast("int")
+    people = F.transform(_field(raw, "authors", "array<struct<name: string>>"), lambda a: F.struct(a["name"].alias("display_name")))
+    return raw.select(
+        F.coalesce(F.nullif(corpus, F.lit("")), text("paperId")).alias("id"), F.lit(None).cast("string").alias("openalex_id"), F.coalesce(corpus, F.lit("")).alias("corpus_id"), text("title").alias("title"), text("abstract").alias("abstract"), year.alias("year"), year.alias("publication_year"),
+        _field(raw, "externalIds.DOI").alias("doi"), text("venue").alias("venue"), count.alias("citation_count"), count.alias("cited_by_count"), text("url").alias("url"), F.coalesce(people, F.array().cast("array<struct<display_name: string>>")).alias("authors"), F.lit("semantic_scholar").alias("source"),
+    )
+
+
+def opencitations_count(raw: DataFrame) -> DataFrame:
+    """The count that the first row of an answer gives, by ``request``; null where it is no number."""
+    return raw.groupBy("request").agg(F.min_by("count", "pos").try_cast("bigint").alias("count"))
+
+
+def id_batches(ids: DataFrame, size: int = 10, column: str = "id") -> DataFrame:
+    """Ids joined by ``__`` in batches of ``size``, as a metadata service is asked for them; a batch never spans partitions."""
+    place = Window.partitionBy(F.spark_partition_id()).orderBy(column)
+    rows = ids.where(F.col(column) != "").select(column, F.spark_partition_id().alias("part"), F.floor((F.row_number().over(place) - 1) / size).alias("batch"))
+    return rows.groupBy("part", "batch").agg(F.array_join(F.array_sort(F.collect_list(column)), "__").alias("ids"), F.count(F.lit(1)).alias("n")).select("ids", "n")
+
+
 def wos_records(raw: DataFrame) -> DataFrame:
     """Records of either response shape: ``hits``, or ``Data.Records.records.REC``."""
     if "hits" in raw.columns:

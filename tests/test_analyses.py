@@ -236,3 +236,42 @@ def test_tools_and_landscape(t):
         tools.run_tool("works.get", t, {})
     done = landscape.science_landscape(t)
     assert not done["failed"] and landscape.summarize({"citation_overview": done["results"]["citation_overview"]})["citation_overview"]["overview"]
+
+
+def test_country_names(spark, t):
+    df = spark.createDataFrame([(1, "de"), (2, "GB"), (3, "usa"), (4, "zz"), (5, ""), (6, None), (7, "qqq")], "id int, country_code string")
+    got = {r["id"]: (r["country_iso3"], r["country_name"]) for r in macro.with_countries(df).collect()}
+    assert got == {1: ("DEU", "Germany"), 2: ("GBR", "United Kingdom"), 3: ("USA", "United States"), 4: ("", "zz"), 5: ("", ""), 6: ("", ""), 7: ("QQQ", "qqq")}
+    assert tools.run_tool("analysis.macro", t)["countries"].columns[:3] == ["country_code", "country_iso3", "country_name"]
+
+
+def test_lists_with_ranks(spark):
+    from paperloom.operators import cluster, keyphrases
+
+    topics_ = spark.createDataFrame([(1, [("a", 0.9), ("b", 0.1)]), (2, [])], "topic_id int, documents array<struct<doc_id: string, probability: double>>")
+    assert rows(cluster.flatten_representatives(topics_), "topic_id", "rank", "doc_id") == [(1, 1, "a"), (1, 2, "b")]
+    ranked = spark.createDataFrame([(1, 1, "neural network", 0.9), (1, 2, "graph", 0.5), (2, 1, "café", 0.4)], "doc_id int, rank int, term string, score double")
+    given = spark.createDataFrame([(1, [("Neural Network", "method", ["nn"]), ("", "x", None), ("graph theory", "topic", ["graph", "theory"]), ("late", "x", None)]), (2, [("...", "x", None)])], "doc_id int, items array<struct<term: string, category: string, source_terms: array<string>>>")
+    found = {(r["doc_id"], r["term"]): (r["llm_rank"], r["score"], r["source_terms"]) for r in keyphrases.refine(given, ranked, 3).collect()}
+    assert found == {(1, "neural network"): (1, 0.9, "nn"), (1, "graph theory"): (3, 0.5, "graph;theory"), (2, "café"): (None, 0.4, None)}
+
+
+def test_names_of_entities(spark):
+    known = spark.createDataFrame([("https://openalex.org/I1", "Oxford Brookes", 9, 1), ("I2", "University of Oxford", 99, 5), ("I3", "oxford", 1, 1), ("I4", None, 5, 5), ("I5", "Not Oxford Town", 2, 1)], "id string, display_name string, works_count int, cited_by_count int")
+    got = search.resolve_entity(known, " Oxford ")
+    assert (got["id"], [c["id"] for c in got["candidates"]], len(got["diagnostics"])) == ("I3", ["I3", "I1", "I2"], 1)
+    with pytest.raises(ValueError):
+        search.resolve_entity(known, "Cambridge")
+
+
+def test_resolve_conference_and_deep_tools(t):
+    title = t.works.where("work_id = 'W2'").first()["title"]
+    assert tools.run_tool("citations.resolve", t, {"work_id": "W2"}).first()["matched_by"] == "id"
+    found = tools.run_tool("citations.resolve", t, {"title": title.upper()}).first()
+    assert (found["work_id"], found["matched_by"], found["score"]) == ("W2", "title", 1.0)
+    with pytest.raises(ValueError, match="title"):
+        tools.run_tool("citations.resolve", t, {})
+    one = t.works.where("source_name <> '' and year is not null").first()
+    papers = tools.run_tool("conferences.papers", t, {"venue": one["source_name"], "year": one["year"]})
+    assert papers["source"] == "dblp" and papers["request"].endswith(f"year:{one['year']}:") and one["work_id"] in [r["work_id"] for r in papers["papers"].collect()]
+    assert tools.run_tool("search.deep", t, {"keywords": "spin", "current_year": 2024, "scores": {"W1": 0.9}}).count() > 0

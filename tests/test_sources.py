@@ -121,3 +121,45 @@ def test_figures(spark):
     assert json.loads(figures.dumps(made))["rows"] == [{"year": 2000, "n": 3}]
     with pytest.raises(ValueError, match="kind"):
         figures.spec(spark.range(1), "pie", "t", "id", "id")
+
+
+def test_conference_index_fields(spark):
+    from paperloom.sources import html_links, records
+
+    values = [(1, '["", "https://a", "https://b"]'), (2, '{"#text": "https://c", "url": "x"}'), (3, " https://d "), (4, '[{"text": ""}, {"url": "https://e"}]'), (5, "[]"), (6, ""), (7, None)]
+    df = spark.createDataFrame(values, "id int, ee string").select("id", records.first_url(F.col("ee")).alias("u"))
+    assert {r["id"]: r["u"] for r in df.collect()} == {1: "https://a", 2: "https://c", 3: "https://d", 4: "https://e", 5: None, 6: None, 7: None}
+    assert records.dblp_query("nips", 2020, "deep nets") == "deep nets venue:NeurIPS: year:2020:" and records.dblp_query("xyz", 1999) == "venue:XYZ: year:1999:"
+    links = spark.createDataFrame([(1, 0, "/2023.acl-long/", "old"), (1, 1, "/2024.ACL-long/", "new"), (1, 2, "/2024.acl-short/", "new"), (2, 0, "/2024-emnlp", "x"), (2, 1, None, "x")], "page_id int, pos int, href string, link_text string")
+    assert [tuple(r) for r in html_links.acl_proceedings(links, "acl", 2024).collect()] == [(1, "/2024.ACL-long/")]
+
+
+def test_service_rows_and_batches(spark):
+    from paperloom.sources import records
+
+    papers = spark.createDataFrame([(7, 2001)], "cited_by_count int, publication_year int")
+    assert records.with_aliases(papers).first().asDict() == {"cited_by_count": 7, "publication_year": 2001, "citation_count": 7, "year": 2001}
+    raw = spark.createDataFrame([("p1", {"CorpusId": "9", "DOI": "10.1/x"}, "T", 1999, 4, [("Ann",)]), ("p2", {}, None, None, None, None)], "paperId string, externalIds map<string,string>, title string, year int, citationCount int, authors array<struct<name: string>>")
+    raw = raw.withColumn("externalIds", F.struct(F.element_at("externalIds", "CorpusId").alias("CorpusId"), F.element_at("externalIds", "DOI").alias("DOI")))
+    one, two = records.s2_as_openalex(raw).orderBy("id").collect()
+    assert (one["id"], one["doi"], one["cited_by_count"], one["authors"][0]["display_name"], one["source"]) == ("9", "10.1/x", 4, "Ann", "semantic_scholar")
+    assert (two["id"], two["corpus_id"], two["title"], two["citation_count"], two["authors"]) == ("p2", "", "", 0, [])
+    answers = spark.createDataFrame([("a", 0, "5"), ("a", 1, "6"), ("b", 0, "x")], "request string, pos int, count string")
+    assert {r["request"]: r["count"] for r in records.opencitations_count(answers).collect()} == {"a": 5, "b": None}
+    batches = records.id_batches(spark.createDataFrame([(f"d{n:02}",) for n in range(25)] + [("",), (None,)], "id string").coalesce(1), 10).collect()
+    assert sorted(b["n"] for b in batches) == [5, 10, 10] and sorted(i for b in batches for i in b["ids"].split("__")) == [f"d{n:02}" for n in range(25)]
+
+
+def test_providers_and_tables(spark):
+    from paperloom.sources import datasets, paged
+
+    asked = []
+    service = paged.provider("service", "http://s/", "t")
+    pages = service.fetch("/works", {"q": 1}, lambda url, params, headers: asked.append((url, params, headers)) or {"results": [{"id": 1}], "meta": {}})
+    assert list(paged.follow(pages, 5)) == [{"id": 1}] and asked == [("http://s/works", {"q": 1, "cursor": "*", "per_page": 5}, {"Authorization": "Bearer t"})]
+    assert paged.provider().name == "openalex"
+    for bad in ("none", "service"):
+        with pytest.raises(ValueError):
+            paged.provider(bad)
+    assert [r.asDict() for r in datasets.as_table(spark, [{"a": 1}, {"a": 2, "b": "x", "c": None}]).orderBy("a").collect()] == [{"a": 1, "b": None, "c": None}, {"a": 2, "b": "x", "c": None}]
+    assert datasets.as_table(spark, {"a": 1}).first()["a"] == 1 and datasets.as_table(spark, 3).first()["value"] == 3 and datasets.as_table(spark, []).count() == 0

@@ -127,3 +127,34 @@ def test_fuzzy_titles_meet_whatever_their_first_word_and_length(spark):
         want = {n: x[0] if asked[n] and (x[0] >= identity.STRICT_TITLE or not strict) else None for n, x in best.items()}
         assert got == want
     assert sum(v is not None and v < 1 for v in want.values()) > 50
+
+
+def test_lookups_by_id_and_doi(spark):
+    papers = spark.createDataFrame([("W1", "https://doi.org/10.1/A", "one"), ("W2", None, "two"), ("W3", "10.1/a", "three"), (None, "10.9/z", "none")], "id string, doi string, title string")
+    asked = spark.createDataFrame([(0, "W2"), (1, "none"), (2, "W1"), (3, "W2"), (4, None)], "pos int, id string")
+    assert [r["title"] for r in identity.get_by_ids(asked, papers).collect()] == ["two", None, "one", "two", None]
+    dois = spark.createDataFrame([("doi:10.1/A",), ("10.1/a",), ("",), (None,)], "doi string")
+    assert [r["id"] for r in identity.get_by_doi(dois, papers).collect()] == ["W1", "W3"] and identity.get_by_doi(dois, papers, 1).count() == 1
+    known = spark.createDataFrame([(1, "s1", "5"), (2, "", "6"), (3, None, None), (4, None, "")], "req int, s2_id string, s2_corpus_id string")
+    found = spark.createDataFrame([(3, None, "7"), (1, "other", None)], "req int, s2_id string, s2_corpus_id string")
+    assert {r[0]: r[1] for r in identity.s2_identifiers(known, found).collect()} == {1: "s1", 2: "CorpusId:6", 3: "CorpusId:7", 4: None}
+    assert identity.s2_identifiers(known).where("s2_identifier is null").count() == 2
+
+
+def test_second_source_where_the_first_found_too_few(spark):
+    works = spark.createDataFrame([("A", 900), ("B", 900), ("C", 5), ("D", None), ("E", 301)], "work_id string, citation_count int")
+    kind = "work_id string, id string, title string"
+    first = spark.createDataFrame([("A", "a1", "One")] + [("B", f"b{n}", f"t{n}") for n in range(700)] + [("C", "c1", "x")] + [("E", f"e{n}", f"t{n}") for n in range(500)], kind)
+    second = spark.createDataFrame([("A", "s2", " one "), ("A", "s3", "New"), ("A", "s4", "new "), ("A", "s5", ""), ("B", "s6", "new"), ("C", "s7", "new"), ("D", "s8", None), ("D", "s9", "x"), ("E", "s10", "new")], kind)
+    got = {tuple(r) for r in identity.supplemented(works, first, second).where("id like 's%'").collect()}
+    assert got == {("A", "s3", "New"), ("D", "s9", "x"), ("E", "s10", "new")}
+
+
+def test_edge_lists(spark, filled):
+    edges = spark.createDataFrame([("1", [("5", "t"), ("", "u"), (None, "v")]), ("W2", None), ("none", [("8", "w")])], "store_id string, edges array<struct<corpus_id: string, title: string>>")
+    with_refs = store.set_edges(filled, edges, "references")
+    assert {r["store_id"]: r["ids"] for r in store.edge_ids(with_refs, "references").collect()} == {"1": ["5"], "W2": []}
+    again = store.set_edges(with_refs, spark.createDataFrame([("W2", [("6", "x")])], edges.schema), "references")
+    assert {r["store_id"]: r["ids"] for r in store.edge_ids(again, "references").collect()} == {"1": ["5"], "W2": ["6"]}
+    with pytest.raises(ValueError):
+        store.set_edges(filled, edges, "tags")
