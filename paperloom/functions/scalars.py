@@ -168,6 +168,15 @@ def inverted_index_text(index: Column) -> Column:
     return F.array_join(F.transform(kept, lambda z: z["x"]["t"]), " ")
 
 
+def positioned_authors(authorships: Column) -> Column:
+    """An API's authorships as a saved work's authors, with their positions from 1."""
+    author = lambda x, i: F.struct(
+        compact_id(x["author"]["id"]).alias("id"), x["author"]["display_name"].alias("display_name"), x["author"]["orcid"].alias("orcid"), (i + 1).alias("position"), x["author_position"].alias("author_position"), x["is_corresponding"].alias("is_corresponding"),
+        F.transform(x["institutions"], lambda n: F.struct(compact_id(n["id"]).alias("id"), n["display_name"].alias("display_name"), n["country_code"].alias("country_code"), n["type"].alias("type"))).alias("institutions"),
+    )
+    return F.transform(authorships, author)
+
+
 def count() -> Column:
     """Number of rows."""
     return F.count(F.lit(1))

@@ -3,6 +3,7 @@
 INSTITUTION = "struct<id: string, display_name: string, country_code: string, type: string>"
 AUTHORSHIP = f"struct<id: string, display_name: string, orcid: string, position: int, author_position: string, is_corresponding: boolean, institutions: array<{INSTITUTION}>>"
 TOPIC = "struct<id: string, name: string, score: double>"
+AUTHORSHIPS, TOPICS = f"array<{AUTHORSHIP}>", f"array<{TOPIC}>"
 SOURCE = "struct<id: string, name: string, type: string, issn_l: string>"
 
 #: A work as saved by a search and read by every analysis.

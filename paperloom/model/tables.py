@@ -8,10 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
+from paperloom.model import schema
+
+
+def _name(works: DataFrame, column: str, x: Column) -> Column:
+    """The name of a topic, whichever of its two fields the records have."""
+    there = works.schema[column].dataType.elementType.fieldNames()
+    return S.first_truthy(*[x[c] for c in ("name", "display_name") if c in there])
 
 
 @dataclass(frozen=True)
@@ -33,7 +40,17 @@ class Tables:
 
     @staticmethod
     def from_works(works: DataFrame, year_field: str = "publication_year") -> "Tables":
-        """From nested works (``schema.WORK``); ``pos`` is the row's order in the scan."""
+        """From nested works (``schema.WORK``); ``pos`` is the row's order in the scan.
+
+        Works without ``authors`` may have an API's raw ``authorships``, and those without ``topics`` ``concepts`` instead.
+        """
+        if "authorships" in works.columns:
+            raw = S.positioned_authors(F.col("authorships")).cast(schema.AUTHORSHIPS)
+            works = works.withColumn("authors", F.coalesce(F.col("authors").cast(schema.AUTHORSHIPS), raw) if "authors" in works.columns else raw)
+        if "concepts" in works.columns:
+            named = lambda c: F.transform(c, lambda x: F.struct(x["id"].alias("id"), _name(works, "concepts", x).alias("name"), x["score"].cast("double").alias("score")))
+            concepts = named(F.col("concepts"))
+            works = works.withColumn("topics", F.when(F.size("topics") > 0, F.col("topics").cast(schema.TOPICS)).otherwise(concepts) if "topics" in works.columns else concepts)
         base = works.withColumn("_pos", F.monotonically_increasing_id())
         year = S.int_or_null(F.coalesce(F.col(year_field), F.col("publication_year")).cast("string"))
         work_id = S.compact_id(F.col("id"))

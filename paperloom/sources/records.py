@@ -23,15 +23,11 @@ def _field(df: DataFrame, path: str, kind: str = "string") -> Column:
 
 def openalex_works(raw: DataFrame) -> DataFrame:
     """API works as saved works: compact ids, five topics, positioned authors."""
-    author = lambda x, i: F.struct(
-        S.compact_id(x["author"]["id"]).alias("id"), x["author"]["display_name"].alias("display_name"), x["author"]["orcid"].alias("orcid"), (i + 1).alias("position"), x["author_position"].alias("author_position"), x["is_corresponding"].alias("is_corresponding"),
-        F.transform(x["institutions"], lambda n: F.struct(S.compact_id(n["id"]).alias("id"), n["display_name"].alias("display_name"), n["country_code"].alias("country_code"), n["type"].alias("type"))).alias("institutions"),
-    )
     topic = lambda t: F.struct(S.compact_id(t["id"]).alias("id"), t["display_name"].alias("name"), t["score"].cast("double").alias("score"))
     source = F.struct(S.compact_id(F.col("primary_location.source.id")).alias("id"), F.col("primary_location.source.display_name").alias("name"), F.col("primary_location.source.type").alias("type"), F.col("primary_location.source.issn_l").alias("issn_l"))
     return raw.select(
         S.compact_id(F.col("id")).alias("id"), "doi", S.first_truthy("title", "display_name").alias("title"), F.col("publication_year").cast("int").alias("publication_year"), "publication_date", "type", S.int_or_zero(F.col("cited_by_count").cast("string")).alias("cited_by_count"), F.col("open_access.is_oa").alias("is_oa"),
-        source.alias("source"), F.transform(F.slice("topics", 1, 5), topic).alias("topics"), F.transform("authorships", author).alias("authors"), F.transform(F.filter("referenced_works", lambda r: r.isNotNull()), S.compact_id).alias("referenced_works"),
+        source.alias("source"), F.transform(F.slice("topics", 1, 5), topic).alias("topics"), S.positioned_authors(F.col("authorships")).alias("authors"), F.transform(F.filter("referenced_works", lambda r: r.isNotNull()), S.compact_id).alias("referenced_works"),
     )
 
 

@@ -163,3 +163,17 @@ def test_providers_and_tables(spark):
             paged.provider(bad)
     assert [r.asDict() for r in datasets.as_table(spark, [{"a": 1}, {"a": 2, "b": "x", "c": None}]).orderBy("a").collect()] == [{"a": 1, "b": None, "c": None}, {"a": 2, "b": "x", "c": None}]
     assert datasets.as_table(spark, {"a": 1}).first()["a"] == 1 and datasets.as_table(spark, 3).first()["value"] == 3 and datasets.as_table(spark, []).count() == 0
+
+
+def test_works_with_raw_authorships_and_concepts(spark):
+    from paperloom.model.tables import Tables
+
+    line = {"id": "https://openalex.org/W1", "title": "t", "publication_year": 2000, "cited_by_count": 1, "type": "article", "is_oa": True, "doi": None, "abstract": "a", "source": {"id": "S1", "name": "V", "type": "journal"}, "referenced_works": ["W2"], "concepts": [{"id": "https://openalex.org/C1", "display_name": "Spin", "score": 0.5}],
+            "authorships": [{"author": {"id": "https://openalex.org/A1", "display_name": "Ann", "orcid": None}, "author_position": "first", "is_corresponding": True, "institutions": [{"id": "I1", "display_name": "Uni", "country_code": "DE", "type": "education"}]}]}
+    more = dict(line, id="W9", topics=[{"id": "T1", "name": "Magnets", "score": 1.0}], concepts=None, authorships=None)
+    kind = "id string, title string, publication_year int, cited_by_count int, type string, is_oa boolean, doi string, abstract string, source struct<id: string, name: string, type: string>, referenced_works array<string>, concepts array<struct<id: string, display_name: string, score: double>>, topics array<struct<id: string, name: string, score: double>>, authorships array<struct<author: struct<id: string, display_name: string, orcid: string>, author_position: string, is_corresponding: boolean, institutions: array<struct<id: string, display_name: string, country_code: string, type: string>>>>"
+    raw = spark.createDataFrame([(json.dumps(line),), (json.dumps(more),)], "j string").select(F.from_json("j", kind).alias("w")).select("w.*")
+    t = Tables.from_works(raw)
+    assert {(r["work_id"], r["topic_id"], r["topic"]) for r in t.topics.collect()} == {("W1", "C1", "Spin"), ("W9", "T1", "Magnets")}
+    assert [(r["work_id"], r["apos"], r["author_id"], r["is_corresponding"]) for r in t.authorships.collect()] == [("W1", 1, "A1", True)]
+    assert [(r["institution_id"], r["country_code"]) for r in t.institutions.collect()] == [("I1", "DE")]
