@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut.
 
-Offline, every vocabulary string is encoded alone; those that give exactly themselves are whole tokens. A text is cut
+Offline (once, on the driver), every vocabulary string is encoded alone; those that give exactly themselves are whole tokens. A text is cut
 into pre-tokens; a pre-token that is a whole token counts one at once, and only the rest are merged by the library, each
 distinct one once for as long as it stays in a bounded table.
 
@@ -43,9 +43,12 @@ def safe_chunks(text: str, size: int = CHUNK) -> Iterator[str]:
 
 
 class Counter:
-    """Counts tokens as ``tokenizers`` does for a byte-level BPE file, special strings in texts included."""
+    """Counts tokens as ``tokenizers`` does for a byte-level BPE file, special strings in texts included.
 
-    def __init__(self, path: str) -> None:
+    ``whole`` holds the whole tokens, where they were proven before.
+    """
+
+    def __init__(self, path: str, whole: list[str] | None = None) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -54,7 +57,7 @@ class Counter:
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.odd = regex.compile(ODD).search
         self.special = regex.compile("|".join(map(regex.escape, self.specials))).split if self.specials else (lambda text: [text])
-        self.whole = self.prove()
+        self.whole = self.prove() if whole is None else whole
         self.known = dict.fromkeys(self.whole, 1)
 
     def prove(self) -> list[str]:
@@ -84,10 +87,11 @@ class Counter:
 def count_tokens(documents: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: the id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
     kind = dict(documents.select(id_col).dtypes)[id_col]
+    whole = Counter(path).whole  # proven once; no more strings than the vocabulary has
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = Counter(path)
+        counter = Counter(path, whole)
 
         def work(batch: pa.RecordBatch):
             sizes, counts = [], []
