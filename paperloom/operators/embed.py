@@ -53,7 +53,8 @@ def l2_normalize(vector):
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, block: int = 2048) -> DataFrame:
     """Exact nearest neighbours of a stated query set against all rows, in blocks of queries: ``query_id``, ``id``, ``cosine``.
 
-    Queries travel to the rows in blocks of bounded size; each task keeps its best ``top`` per query before the shuffle.
+    Queries travel to the rows in blocks of bounded size; each task keeps its best ``top`` per query before the shuffle. Cosines
+    are rounded to 12 places, so that equal vectors tie wherever they stand; the smaller id wins.
     """
     import numpy as np
     import pandas as pd
@@ -70,13 +71,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, block: int =
             for part in parts:
                 if not len(part):
                     continue
+                part = part.sort_values("id", kind="stable")
                 x = np.stack(part["embedding"].to_numpy()).astype(float)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                c = q @ x.T
+                c = np.round(q @ x.T, 12)
                 k = min(top, c.shape[1])
-                pick = np.argpartition(-c, k - 1, axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), k)
-                yield pd.DataFrame({"query_id": ids[rows], "id": part["id"].to_numpy()[pick.ravel()], "cosine": c[rows, pick.ravel()]})
+                least = -np.partition(-c, k - 1, axis=1)[:, k - 1 : k]
+                above, tied = c > least, c == least
+                rows, pick = np.nonzero(above | tied & (tied.cumsum(1) <= k - above.sum(1, keepdims=True)))
+                yield pd.DataFrame({"query_id": ids[rows], "id": part["id"].to_numpy()[pick], "cosine": c[rows, pick]})
 
         found = vectors.select("id", "embedding").mapInPandas(best, "query_id bigint, id bigint, cosine double")
         out = found if out is None else out.unionByName(found)

@@ -28,7 +28,7 @@ def resolve(arrivals: DataFrame, store: DataFrame | None = None) -> DataFrame:
     known = rows.where("openalex_id <> ''").select("openalex_id", own.alias("own"), F.col("seq").cast("bigint").alias("seq"))
     if store is not None:
         known = known.unionByName(store.where("openalex_id is not null").select("openalex_id", F.col("store_id").alias("own"), F.lit(-1).cast("bigint").alias("seq")))
-    first = known.groupBy("openalex_id").agg(F.min_by("own", "seq").alias("_first"))
+    first = known.groupBy("openalex_id").agg(F.min_by("own", F.struct("seq", "own")).alias("_first"))
     return rows.join(first, "openalex_id", "left").withColumn("store_id", F.coalesce("_first", own)).drop("_first")
 
 
