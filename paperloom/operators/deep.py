@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.model.tables import Tables
 from paperloom.operators import citations, store
+from paperloom.session import checkpointed
 
 SUCCESS = 0.5
 
@@ -64,7 +65,7 @@ def _merge(session: Session, arrivals: DataFrame) -> dict:
     notes = session.rows.select("store_id", *fresh) if session.rows is not None else None
     merged = store.upsert(session.rows.drop(*fresh) if notes is not None else None, arrivals)
     merged = merged.join(notes, "store_id", "left").withColumns({c: F.coalesce(c, new) for c, new in fresh.items()}) if notes is not None else merged.withColumns(fresh)
-    session.rows = merged.checkpoint()
+    session.rows = checkpointed(merged)
     total = session.rows.count()
     return {"added": total - before, "total": total}
 
@@ -85,7 +86,7 @@ def judge(session: Session, scores: DataFrame) -> dict:
     """Write supplied scores (``store_id, score``) and mark their papers as evaluated; a missing score counts as 0."""
     given = scores.select("store_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).groupBy("store_id").agg(F.max("score").alias("score"))
     rows = store.set_scores(session.rows, given, "llm_score").join(given.select("store_id", F.lit(True).alias("_judged")), "store_id", "left")
-    session.rows = rows.withColumn("is_evaluated", F.col("is_evaluated") | F.coalesce("_judged", F.lit(False))).drop("_judged").checkpoint()
+    session.rows = checkpointed(rows.withColumn("is_evaluated", F.col("is_evaluated") | F.coalesce("_judged", F.lit(False))).drop("_judged"))
     judged = session.rows.where("is_evaluated")
     return {"evaluated": judged.count(), "success": judged.where(F.col("llm_score") >= SUCCESS).count()}
 
@@ -106,7 +107,7 @@ def expand(session: Session, t: Tables, direction: str = "references", per_work:
 
 
 def mark_seeds(session: Session, ids: DataFrame) -> int:
-    session.rows = store.add_tags(session.rows, ids, ["seed"], seed=True).checkpoint()
+    session.rows = checkpointed(store.add_tags(session.rows, ids, ["seed"], seed=True))
     return session.rows.where("is_seed").count()
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import checkpointed
+
 #: Edges that modularity is computed over at most; a larger graph gets its connected components.
 MAX_EDGES = 10_000
 
@@ -110,7 +112,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest name reachable). Each step is checkpointed, so lost executors cost one step;
     a node that has an edge to itself alone is its own component."""
     pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
-    found = star_forest(pairs, lambda df, _: df.checkpoint())
+    found = star_forest(pairs, lambda df, _: checkpointed(df))
     alone = pairs.where("u = v").select(F.col("u").alias("node")).distinct().join(found, "node", "left_anti")
     return found.unionByName(alone.select("node", F.col("node").alias("component")))
 

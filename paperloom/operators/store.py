@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
 from paperloom.functions.scalars import count
+from paperloom.session import checkpointed
 
 #: Weights of the store's default ranking, of search strategies, of deep search and of the rank tool.
 DEFAULT_WEIGHTS = {"relevance": 0.4, "centrality": 0.3, "recency": 0.3}
@@ -163,13 +164,29 @@ def all_scored(store: DataFrame, score: str = "llm_score") -> DataFrame:
     return store.where(F.col(score).isNotNull()).orderBy(F.desc(score), "store_id")
 
 
+def ranked(rows: DataFrame, column: str, *order: Column | str) -> DataFrame:
+    """``rows`` with their rank from 1 over all of them, without one task that holds them all.
+
+    Rows are sorted by ranges and written to the checkpoint folder, so that each keeps its part and its place there; a rank is
+    that place and the rows of the parts before. ``order`` should end with an id.
+    """
+    at = f"_{column}"
+    fixed = checkpointed(rows.orderBy(*order)).withColumn(at, F.monotonically_increasing_id())
+    placed = fixed.withColumn(f"{at}_part", F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy(f"{at}_part").agg(count().alias("n"))
+    before = F.sum("n").over(Window.orderBy(f"{at}_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(f"{at}_part", F.coalesce(before, F.lit(0)).alias(f"{at}_before"))  # one row for each part
+    found = placed.join(F.broadcast(starts), f"{at}_part")
+    return found.withColumn(column, F.col(f"{at}_before") + F.col(at) + 1).select(*rows.columns, column)
+
+
 def tiers(store: DataFrame, llm: float = 0.3, embedding: float = 0.2) -> DataFrame:
     """Three tiers: judged well, else similar, else the rest by its scores; ``tier`` and the ``rank`` over all."""
     tier = F.when(F.col("llm_score") >= llm, 1).when(F.col("embedding_sim") >= embedding, 2).otherwise(3)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     inside = [F.when(tier == 1, F.col("llm_score")).when(tier == 2, F.col("embedding_sim")).otherwise(F.when(F.col("relevance_score").isNotNull(), 1.0).otherwise(0.0)), *[F.when(tier == 3, zero(c)).otherwise(0.0) for c in ("relevance_score", "centrality_score", "recency_score")]]
     rows = store.withColumn("tier", tier)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("tier", *[F.desc(c) for c in inside], "store_id")))
+    return ranked(rows, "rank", "tier", *[F.desc(c) for c in inside], "store_id")
 
 
 def strategy_sort(papers: DataFrame, current_year: int, strategy: str = "precise", rerank: DataFrame | None = None, seed_relevance: float = 0.5) -> DataFrame:
@@ -178,11 +195,13 @@ def strategy_sort(papers: DataFrame, current_year: int, strategy: str = "precise
     A paper without a year has recency 0.5 here (0 in the store).
     """
     w = STRATEGIES.get(strategy, STRATEGIES["precise"])
-    place = F.row_number().over(Window.partitionBy(F.coalesce("search_rank", F.lit(0)) > 0).orderBy("search_rank", "store_id"))
-    rows = papers.withColumn("_fallback", F.when(F.coalesce("search_rank", F.lit(0)) > 0, 1.0 / place))
+    found = F.coalesce("search_rank", F.lit(0)) > 0
+    rows = ranked(papers, "_at", F.desc(found), "search_rank", "store_id")  # those with a search rank come first
+    rows = rows.withColumn("_fallback", F.when(found, 1.0 / F.col("_at"))).drop("_at")
     if rerank is not None:
-        top = F.max("score").over(Window.partitionBy())
-        scaled = rerank.withColumn("_rerank", F.when(top > 1, F.col("score") / top).otherwise(F.col("score"))).select("store_id", "_rerank")
+        top = F.col("_top")
+        scaled = rerank.crossJoin(F.broadcast(rerank.agg(F.max("score").alias("_top"))))  # one row
+        scaled = scaled.select("store_id", F.when(top > 1, F.col("score") / top).otherwise(F.col("score")).alias("_rerank"))
         rows = rows.join(scaled, "store_id", "left")
     else:
         rows = rows.withColumn("_rerank", F.lit(None).cast("double"))

@@ -64,7 +64,7 @@ def tiered_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = store.importance(_papers(spark, sf_dir), YEAR)
     # Nine places: the last bits of exp differ between engines and would reorder ties.
     scored = scored.withColumns({c: F.round(c, 9) for c in ("relevance_score", "centrality_score", "recency_score")})
-    return store.tiers(scored).select("store_id", "tier", "rank")
+    return store.tiers(scored).select("store_id", "tier", F.col("rank").cast("int").alias("rank"))
 
 
 @register("strategy_rank", f"""WITH {_P}, f AS (SELECT *, CASE WHEN search_rank > 0 THEN 1.0 / row_number() OVER (PARTITION BY coalesce(search_rank, 0) > 0 ORDER BY search_rank, store_id) END AS fb FROM s)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared checkpoint folder; one of our own only where none is set and Spark runs locally."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-"))
+    return rows.checkpoint()
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt over all cores where the scan has fewer parts than that (one file with one row group is one part).
 

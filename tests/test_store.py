@@ -158,3 +158,16 @@ def test_edge_lists(spark, filled):
     assert {r["store_id"]: r["ids"] for r in store.edge_ids(again, "references").collect()} == {"1": ["5"], "W2": ["6"]}
     with pytest.raises(ValueError):
         store.set_edges(filled, edges, "tags")
+
+
+def test_ranks_over_many_parts(spark):
+    rows = [(i, (i * 7919) % 101, float(i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a long, rank_ double").repartition(13)
+    got = {r["id"]: r["rank"] for r in store.ranked(df, "rank", F.desc("rank_"), "a", "id").collect()}
+    want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1], r[0])), 1)}
+    assert got == want
+    assert store.ranked(df.where("id < 0"), "rank", "id").columns == ["id", "a", "rank_", "rank"] and store.ranked(df.where("id < 0"), "rank", "id").count() == 0
+    papers = spark.createDataFrame([("a", 3, 2000, 5), ("b", 0, 2000, 5), ("c", None, 2000, 5), ("d", 9, 2000, 5), ("e", 3, 2000, 5)], "store_id string, search_rank int, year int, citation_count int")
+    assert [r["store_id"] for r in store.strategy_sort(papers, 2020).collect()] == ["a", "e", "d", "b", "c"]
+    again = spark.createDataFrame([("c", 8.0), ("b", 4.0)], "store_id string, score double")
+    assert [r["store_id"] for r in store.strategy_sort(papers, 2020, rerank=again).collect()][:2] in (["a", "c"], ["c", "a"])
