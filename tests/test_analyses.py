@@ -275,3 +275,38 @@ def test_resolve_conference_and_deep_tools(t):
     papers = tools.run_tool("conferences.papers", t, {"venue": one["source_name"], "year": one["year"]})
     assert papers["source"] == "dblp" and papers["request"].endswith(f"year:{one['year']}:") and one["work_id"] in [r["work_id"] for r in papers["papers"].collect()]
     assert tools.run_tool("search.deep", t, {"keywords": "spin", "current_year": 2024, "scores": {"W1": 0.9}}).count() > 0
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def ranked_both_ways(spark, ranked):
+    """What ``ranked`` makes of the candidates as they are returned, and of the same rows without their arrays."""
+    docs = spark.createDataFrame([(n % 37, " ".join(f"{'spin' if k % 3 else 'quantum'} liquid{(n * k) % 11} the graph{k % (n + 2)} s x mml." for k in range(n))) for n in range(40)] + [(50, None), (51, "Ｇraph <b>groups</b> o’brien x y")], "doc_id long, text string")
+    found = keyphrases.candidates(docs, F.col("text"))
+    return tuple(sorted(rows(keyphrases.nonredundant(ranked(x, docs), 4), "doc_id", "rank", "term", "score")) for x in (found, found.select("*")))
+
+
+def test_keyphrases_by_tfidf_shuffle_no_candidates(spark):
+    """Candidates are counted where their texts are; the choice is the same from all of them and from those that can win."""
+    docs = spark.createDataFrame([(1, "Quantum spin liquids. Open access")], "doc_id long, text string")
+    plan = plan_of(keyphrases.candidates(docs, F.col("text")))
+    assert "hashpartitioning(doc_id" in plan and "term" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    got, want = ranked_both_ways(spark, lambda found, docs: keyphrases.tfidf(found))
+    assert got == want and len(got) > 100
+
+
+def test_phrases_that_may_be_chosen(spark):
+    """Whatever the frequencies are, the phrases left out are never chosen."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(20):
+        words = [rng.choice("spin graph group liquid quantum field".split()) for _ in range(60)]
+        found = keyphrases.most_frequent(keyphrases.phrase_counts(" ".join(words)), 40)
+        kept = keyphrases.tfidf_contenders(found, 1000, 1000, 5)
+        frame = spark.createDataFrame([(1, *x) for x in found], "doc_id long, term string, n long, words int")
+        df = spark.createDataFrame([(x[0], rng.choice([1, 2, 1000])) for x in found], "term string, doc_frequency long")
+        best = lambda f: rows(keyphrases.nonredundant(keyphrases._tfidf_scored(f, df, 1000), 5), "rank", "term")
+        assert best(frame) == best(frame.where(F.col("term").isin([x[0] for x in kept])))
