@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import nlargest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from paperloom.functions import text as T
 from paperloom.functions import udfs as U
 from paperloom.functions.scalars import count
+from paperloom.functions.udfs import _WORDS, hash_vector
 from paperloom.session import tabled
 
 _STOP = tuple(dict.fromkeys((*T.ENGLISH_STOPWORDS, *T.GENERIC_TERMS, *T.RHETORICAL_TERMS)))
@@ -194,13 +196,61 @@ def tfidf(found: DataFrame, n_docs: int | None = None) -> DataFrame:
     return scored
 
 
+def hash_scores(texts: list[str], found: list[tuple[str, int, int]], dimensions: int, kept: dict) -> Iterator[tuple[str, int, int, float]]:
+    """Phrases with their words, occurrences and score, for each of a document's texts; what ``hash_vector`` and ``U.cosine``
+    give, from the few places of a phrase that aren't zero. ``kept``: places and signs of words."""
+
+    def place(word: str) -> tuple[int, float]:
+        if word not in kept:
+            if len(kept) > 1 << 18:
+                kept.clear()
+            own = hash_vector(word, dimensions)
+            at = int(np.flatnonzero(own)[0])
+            kept[word] = at, float(own[at])
+        return kept[word]
+
+    vectors = []
+    for text in texts:
+        v = np.zeros(dimensions, np.float32)
+        for word, n in Counter(_WORDS.findall(text.lower())).items():
+            at, sign = place(word)
+            v[at] += n * sign
+        norm = float(np.linalg.norm(v))
+        d = (v / norm if norm else v).astype(np.float64)
+        vectors.append((d.tolist(), float(np.sqrt(np.add.accumulate(d * d)[-1]))))
+    for term, n, words in found:
+        places: dict[int, float] = {}
+        for word in term.split(" "):
+            at, sign = place(word)
+            places[at] = places.get(at, 0.0) + sign
+        square = sum([x * x for x in places.values()])
+        if (square, words) not in kept:
+            # Shares of a unit vector, rounded as in one.
+            kept[square, words] = {float(x): float(np.float32(x) / np.sqrt(np.float32(square))) for x in range(-words, words + 1) if x} if square else {}
+        unit, length, bonus = kept[square, words], 0.0, min(0.06, 0.02 * (words - 1))
+        p = [(at, unit[x]) for at, x in sorted(places.items()) if x]
+        for _, x in p:
+            length += x * x
+        length = math.sqrt(length)
+        for d, norm in vectors:
+            dot = 0.0
+            for at, x in p:
+                dot += d[at] * x
+            both = norm * length
+            yield term, words, n, (float(dot) / both if both else 0.0) + bonus
+
+
 def hash_ranked(found: DataFrame, texts: DataFrame, dimensions: int = 384) -> DataFrame:
-    """Cosine of a document's and a phrase's hash vectors, plus a small bonus for length. ``texts``: doc_id, text."""
-    docs = texts.select("doc_id", U.hash_vector_udf(F.col("text"), dimensions).alias("d"))
-    phrases = found.select("term").distinct().select("term", U.hash_vector_udf(F.col("term"), dimensions).alias("p"))
-    rows = found.join(phrases, "term").join(docs, "doc_id")
-    bonus = F.least(F.lit(0.06), 0.02 * (F.col("words") - 1))
-    return rows.select("doc_id", "term", "words", F.col("n").alias("candidate_count"), (F.coalesce(U.cosine(F.col("d"), F.col("p")), F.lit(0.0)) + bonus).alias("score"))
+    """Cosine of a document's and a phrase's hash vectors, plus a small bonus for length. ``texts``: doc_id, text.
+
+    What ``candidates`` returned meets its document's texts as one array, and no vector is shuffled."""
+    arrays = getattr(found, "_arrays", None)
+    if arrays is None:
+        arrays = found.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "words")).alias("x")).select("doc_id", F.col("x.term").alias("terms"), F.col("x.n").alias("counts"), F.col("x.words").alias("words"))
+    kept: dict = {}
+    work = lambda row: hash_scores(row["texts"], list(zip(row["terms"], row["counts"], row["words"], strict=True)), dimensions, kept)
+    scores = _mapped(arrays.join(_listed(texts, F.col("text")), "doc_id"), "terms array<string>, words array<int>, candidate_count array<bigint>, score array<double>", work)
+    return _rows(scores)
 
 
 def lexical_ranked(found: DataFrame, texts: DataFrame) -> DataFrame:

@@ -310,3 +310,16 @@ def test_phrases_that_may_be_chosen(spark):
         df = spark.createDataFrame([(x[0], rng.choice([1, 2, 1000])) for x in found], "term string, doc_frequency long")
         best = lambda f: rows(keyphrases.nonredundant(keyphrases._tfidf_scored(f, df, 1000), 5), "rank", "term")
         assert best(frame) == best(frame.where(F.col("term").isin([x[0] for x in kept])))
+
+
+def test_keyphrases_by_hash_shuffle_no_vectors(spark):
+    """Scores are made where a document's candidates and text meet, as from vectors of both."""
+    from paperloom.functions import udfs as U
+
+    docs = spark.createDataFrame([(1, "Quantum spin liquids, quantum Spin_1. Open access"), (1, "spin spin"), (2, None)], "doc_id long, text string")
+    found = keyphrases.candidates(docs, F.col("text"))
+    ranked = keyphrases.hash_ranked(found, docs)
+    assert not any("term" in x or "p#" in x for x in plan_of(ranked).splitlines() if "Exchange" in x)
+    cosine = F.coalesce(U.cosine(U.hash_vector_udf(F.col("text")), U.hash_vector_udf(F.col("term"))), F.lit(0.0))
+    want = found.join(docs, "doc_id").withColumn("score", cosine + F.least(F.lit(0.06), 0.02 * (F.col("words") - 1)))
+    assert rows(ranked, "doc_id", "term", "words", "candidate_count", "score") == rows(want, "doc_id", "term", "words", "n", "score")
