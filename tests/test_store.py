@@ -171,3 +171,17 @@ def test_ranks_over_many_parts(spark):
     assert [r["store_id"] for r in store.strategy_sort(papers, 2020).collect()] == ["a", "e", "d", "b", "c"]
     again = spark.createDataFrame([("c", 8.0), ("b", 4.0)], "store_id string, score double")
     assert [r["store_id"] for r in store.strategy_sort(papers, 2020, rerank=again).collect()][:2] in (["a", "c"], ["c", "a"])
+
+
+def test_fuzzy_titles_of_common_words_meet_few_others():
+    """Titles of the same two words and a number share pieces with all others, but only near numbers are compared."""
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    titles = [f"small plate {n}" for n in range(100000, 103000, 3)]
+    asked = titles[::100]
+    wanted = Counter(k for a in asked for k in identity.title_pieces(a))
+    met = sum(wanted[k] for t in titles for k in identity.title_keys(t))
+    alike = [(a, t) for a in asked for t in titles if SequenceMatcher(None, a, t).ratio() >= identity.STRICT_TITLE]
+    assert all(set(identity.title_pieces(a)) & set(identity.title_keys(t)) for a, t in alike)
+    assert len(alike) > 2 * len(asked) and met < 8 * len(alike) < len(asked) * len(titles)
