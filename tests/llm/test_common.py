@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -22,3 +24,10 @@ def test_long_paths_settle(spark, order):
 
 def test_no_edges(spark):
     assert components(Workspace(spark, "none"), spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
+def test_tables_are_written_without_checksum_files(spark):
+    """Hadoop's usual local file system starts ``chmod`` for each of them, besides the one for the file itself."""
+    written = Workspace(spark, "plain").write(spark.range(100).repartition(3), "rows")
+    files = [p.name for p in Path(written._paperloom_path.removeprefix("file://").removeprefix("file:")).iterdir()]
+    assert written.count() == 100 and len([x for x in files if x.startswith("part-")]) == 3 and not [x for x in files if x.endswith(".crc")], files
